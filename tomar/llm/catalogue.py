@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid, lookalike, pieces
+from . import evalleak, langid, lookalike, mixture, pieces
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (pieces, lookalike, langid):
+for _module in (pieces, lookalike, evalleak, mixture, langid):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)
