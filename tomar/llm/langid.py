@@ -30,9 +30,11 @@ from tomar.session import table
 from .rows import flat_map
 
 #: Labelled documents a language that the classifier is fitted on, at most.
-SAMPLE = 300
+SAMPLE = 200
 CLUSTERS = 4
 BITS = 16
+#: Sentences that are weighed at once, which bounds the memory.
+SLICE = 1000
 REJECT_SHARE = 0.005
 CHANGE = 2.5
 SHARPNESS = 25.0
@@ -109,21 +111,22 @@ class Centroids:
         self.codes = sorted(set(languages))
         self.columns = [[i for i, x in enumerate(languages) if x == c] for c in self.codes]
 
-    def weights(self, texts: list[str]):
-        number, gram, count = grams(texts)
+    def weights(self, texts: list[str], counted=None):
+        number, gram, count = counted or grams(texts)
         w = (1 + np.log(count)).astype(np.float32) * self.idf[gram]
         norm = np.sqrt(np.bincount(number, w * w, len(texts))).astype(np.float32)
         norm[norm == 0] = 1
         return number, gram, w / norm[number]
 
     def cosines(self, texts: list[str]) -> np.ndarray:
-        """Cosine of each text with each centroid."""
+        """Cosine of each text with each centroid, for a slice of the texts at a time."""
         out = np.zeros((len(texts), len(self.languages)), np.float32)
-        if texts:
-            number, gram, w = self.weights(texts)
+        for at in range(0, len(texts), SLICE):
+            own = texts[at : at + SLICE]
+            number, gram, w = self.weights(own)
             if len(number):
                 starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
-                out[number[starts]] = np.add.reduceat(self.matrix[gram] * w[:, None], starts, axis=0)
+                out[at + number[starts]] = np.add.reduceat(self.matrix[gram] * w[:, None], starts, axis=0)
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -160,10 +163,14 @@ def _fit(samples: list[tuple[str, str, int]], clusters: int, rounds: int) -> Cen
     size = 1 << BITS
     if not samples:
         return Centroids(np.zeros(size), np.zeros((size, 0)), [])
-    number, gram, _ = grams([p for _, p, _ in samples])
+    counted = []
+    for at in range(0, len(samples), SLICE):
+        number, gram, count = grams([p for _, p, _ in samples[at : at + SLICE]])
+        counted.append(((number + at).astype(np.int32), gram.astype(np.int32), count.astype(np.int32)))
+    number, gram, count = (np.concatenate(x) for x in zip(*counted))
     df = np.bincount(gram, minlength=size)
     model = Centroids(np.log((1 + len(samples)) / (1 + df)), np.zeros((size, 1)), [""])
-    number, gram, w = model.weights([p for _, p, _ in samples])
+    number, gram, w = model.weights([p for _, p, _ in samples], (number, gram, count))
     language = np.array([x for x, _, _ in samples])
     columns, languages = [], []
     for code in sorted(set(language)):
@@ -180,7 +187,8 @@ def _fit(samples: list[tuple[str, str, int]], clusters: int, rounds: int) -> Cen
             centre /= np.maximum(np.linalg.norm(centre, axis=0), 1e-9)
             sims = np.zeros((len(own), k))
             starts = np.flatnonzero(np.r_[True, rows_[1:] != rows_[:-1]])
-            sims[rows_[starts]] = np.add.reduceat(centre[g] * v[:, None], starts, axis=0)
+            for c in range(k):
+                sims[rows_[starts], c] = np.add.reduceat(centre[g, c] * v, starts)
             new = sims.argmax(axis=1)
             if (new == assigned).all():
                 break
