@@ -194,7 +194,7 @@ def _fit(samples: list[tuple[str, str, int]], clusters: int, rounds: int) -> Cen
                 break
             assigned = new
         columns.append(centre)
-        languages += [code] * k
+        languages += [str(code)] * k
     return Centroids(model.idf, np.concatenate(columns, axis=1), languages)
 
 
