@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import crosssplit, evalleak, langid, lookalike, mixture, pieces
+from . import crosssplit, entities, evalleak, langid, lookalike, mixture, pieces
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (crosssplit, pieces, lookalike, evalleak, mixture, langid):
+for _module in (crosssplit, entities, pieces, lookalike, evalleak, mixture, langid):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)
