@@ -29,7 +29,8 @@ from .folding import fold
 from .rows import flat_map
 
 SUFFIX, COMMON = 4, 60
-RATIO = 0.75
+#: Least ratio of the common subsequence to the longer word, and the letters of a word that may be out of place.
+RATIO, SLIPS = 0.75, 1
 RARE, RARER = 2, 0.25
 
 #: Words that fill a field without naming an entity, and words that an institution's name may lack.
@@ -104,7 +105,8 @@ def misspelt(a: str, b: str, na: int, nb: int) -> bool:
     if min(na, nb) > RARE and min(na, nb) > RARER * max(na, nb):
         return False
     long = max(len(a), len(b))
-    return common_subsequence(a, b) >= (RATIO if long < 6 else 0.8) * long
+    # One slip leaves all letters but one in order, so the ratio that is asked for grows with the word.
+    return common_subsequence(a, b) >= max(RATIO, 1 - SLIPS / long) * long
 
 
 def shortened(short: str, word: str) -> bool:
@@ -131,10 +133,10 @@ def inflected(a: str, b: str) -> bool:
 
 def written_apart(words: list[str], compound: str) -> bool:
     """Whether two words, the first perhaps abbreviated, are the parts of a compound."""
-    if len(words) != 2 or not compound.endswith(words[1]) or len(words[1]) < 3:
+    if len(words) != 2 or min(map(len, words)) < 2:
         return False
-    first = compound[: -len(words[1])]
-    return first == words[0] or shortened(words[0], first)
+    cuts = (i for i in range(2, len(compound) - 1) if compound.startswith(words[1], i))
+    return any(compound[:i] == words[0] or shortened(words[0], compound[:i]) for i in cuts)
 
 
 def acronym(short: str, words: list[str]) -> bool:
@@ -176,6 +178,11 @@ def same_body(a: list[tuple[str, int]], b: list[tuple[str, int]]) -> bool:
         return True
     pair_off(lambda x, y: inflected(x[0], y[0]))
     pair_off(lambda x, y: shortened(x[0], y[0]) or shortened(y[0], x[0]))
+    if len(left) == len(right) == 1 and sure and any(x in b and len(x[0]) > 3 for x in a):
+        # A slip in the abbreviation of the last word left.
+        short, word = sorted((left[0][0], right[0][0]), key=len)
+        if 2 < len(short) < 5 and short[0] == word[0] and common_subsequence(short, word) >= len(short) - 1:
+            return True
     for mine, other in ((left, right), (right, left)):
         for x in list(mine):
             rest = [w for w, _ in other if w not in ("ve", "ile")]
