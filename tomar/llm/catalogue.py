@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import crosssplit, entities, evalleak, langid, lookalike, mixture, pieces, pii
+from . import crosssplit, entities, evalleak, langid, lookalike, mixture, ocrnoise, pieces, pii
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (crosssplit, pii, entities, pieces, lookalike, evalleak, mixture, langid):
+for _module in (crosssplit, pii, entities, ocrnoise, pieces, lookalike, evalleak, mixture, langid):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)
