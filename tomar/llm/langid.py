@@ -1,7 +1,7 @@
 """Problem 9: the language of each document and of each stretch of a mixed one.
 
 Method: nearest-centroid classification. Texts become normalised TF-IDF vectors of hashed character
-2- to 4-grams; each language has several centroids, clustered by spherical k-means from sentences of
+3-grams; each language has several centroids, clustered by spherical k-means from sentences of
 labelled documents in two forms (as written, and without accents, so that such texts have a centroid of their own); a
 sentence goes to the language of the centroid with the highest cosine, and is rejected where that cosine is
 below what all but a small share of the training sentences reach. Sentences of a document are then joined
@@ -33,6 +33,7 @@ from .rows import flat_map
 SAMPLE = 200
 CLUSTERS = 4
 BITS = 16
+GRAM = 3
 #: Sentences that are weighed at once, which bounds the memory.
 SLICE = 1000
 REJECT_SHARE = 0.005
@@ -49,9 +50,9 @@ NOTATIONS = {
     "az": "az aze azb azj azərbaycanca azerbaycanca azərbaycan azerbaijani azeri azerice aserbaidschanisch",
 }
 _BY_NOTATION = {word: code for code, words in NOTATIONS.items() for word in words.split()}
-_LETTERS = str.maketrans({"ı": "i", "İ": "i", "I": "i", "ẞ": "ss", "’": " ", "'": " "})
+_LETTERS = (("ı", "i"), ("İ", "i"), ("ẞ", "ss"), ("’", " "), ("'", " "))
 _BARE = str.maketrans({"ə": "e", "ß": "s", "æ": "a", "œ": "o"})
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = re.compile(r"(?:[^\w\n]|[\d_])+")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”»')\]]*\s+(?=[\"“«'(\[¿¡]*[^\W\d_a-zçğıöşüəéèàâêîôûäñáíóú]|[\"“«'(\[¿¡]*\d)|\n+|\f")
 _END = re.compile(r"[.!?…][\"”»')\]]*\s*$")
 
@@ -73,9 +74,13 @@ def missing(column):
     )
 
 
-def plain(text: str) -> str:
-    """Letters in lower case with single spaces between words, and one at either end."""
-    return " " + _NOT_LETTERS.sub(" ", unicodedata.normalize("NFC", text.translate(_LETTERS).lower().replace("i̇", "i"))).strip() + " "
+def plains(texts: list[str]) -> list[str]:
+    """Of each text the letters in lower case, with single spaces between words and one at either end."""
+    joined = "\n".join([t.replace("\n", " ") for t in texts])
+    for old, new in _LETTERS:
+        joined = joined.replace(old, new)
+    joined = unicodedata.normalize("NFC", joined.lower().replace("i\u0307", "i"))
+    return [f" {t.strip()} " for t in _NOT_LETTERS.sub(" ", joined).split("\n")]
 
 
 def bare(text: str) -> str:
@@ -84,22 +89,19 @@ def bare(text: str) -> str:
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, hashed gram, count) of the 2- to 4-grams of plain texts, ordered by text."""
+    """(text number, hashed gram, count) of the character n-grams of plain texts, ordered by text."""
     units = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     if not len(units):
         return (np.zeros(0, np.int64),) * 3
     number = np.cumsum(units == 10).astype(np.int64)
-    keys = []
-    code = units * np.uint64(0x9E3779B97F4A7C15)
-    for n in (2, 3, 4):
-        if len(units) < n:
-            break
-        code = code[: len(units) - n + 1] * np.uint64(0xD6E8FEB86659FD93) + units[n - 1 :] * np.uint64(0x9E3779B97F4A7C15)
+    n = len(units) - GRAM + 1
+    code = np.zeros(max(n, 0), np.uint64)
+    for i in range(GRAM if n > 0 else 0):
+        code = code * np.uint64(0xD6E8FEB86659FD93) + units[i : i + n]
         code ^= code >> np.uint64(29)
-        whole = (number[: len(code)] == number[n - 1 :]) & (units[: len(code)] != 10)
-        hashed = ((code * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int64)
-        keys.append(((number[: len(code)] << BITS) | hashed)[whole])
-    found, counts = np.unique(np.concatenate(keys), return_counts=True)
+    whole = (number[:n] == number[GRAM - 1 :]) & (units[:n] != 10) if n > 0 else np.zeros(0, bool)
+    hashed = ((code * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int64)
+    found, counts = np.unique(((number[: len(code)] << BITS) | hashed)[whole], return_counts=True)
     return found >> BITS, found & ((1 << BITS) - 1), counts
 
 
@@ -139,8 +141,7 @@ def fit(rows: list[tuple[str, str]], clusters: int = CLUSTERS, rounds: int = 8)
     """Centroids from (language, text) rows whose labels may be wrong."""
     samples: list[tuple[str, str, int]] = []
     for n, (language, text) in enumerate(rows):
-        for s in sentences(text)[0]:
-            p = plain(s)
+        for p in plains(sentences(text)[0]):
             if len(p) > 25:
                 samples += [(language, p, n), (language, bare(p), n)]
     model = _fit(samples, clusters, rounds)
@@ -217,17 +218,19 @@ def stretches(spans, whole, scores: np.ndarray, floor: float) -> list[tuple[int,
     n, k = s.shape
     if not n or not k:
         return []
+    first = s.argmax(axis=1)
     cost = np.zeros(k)
     back = np.zeros((n, k), int)
-    for i in range(n):
+    # One language that is best everywhere is the best path.
+    for i in range(n) if (first != first[0]).any() else ():
         best = int(cost.argmax())
         move = cost[best] - CHANGE > cost
         back[i] = np.where(move, best, np.arange(k))
         cost = np.where(move, cost[best] - CHANGE, cost) + SHARPNESS * s[i]
-    path = [int(cost.argmax())]
-    for i in range(n - 1, 0, -1):
+    path = [int(cost.argmax())] if cost.any() else first.tolist()
+    for i in range(n - 1, 0, -1) if len(path) < n else ():
         path.append(int(back[i][path[-1]]))
-    path.reverse()
+    path = path[::-1]
     out: list[list] = []
     for i, lang in enumerate(path):
         if out and out[-1][0] == lang:
@@ -264,10 +267,10 @@ def segments(documents: DataFrame, model: Centroids | None = None) -> DataFrame:
 
         def run(rows):
             parts = [(r["doc_id"], r["text"], *sentences(r["text"])) for r in rows]
-            plains = [plain(s) for _, _, own, _ in parts for s in own]
-            scores, at = m.scores(plains), 0
+            every = plains([s for _, _, own, _ in parts for s in own])
+            scores, at = m.scores(every), 0
             for doc_id, text, own, spans in parts:
-                mine = plains[at : at + len(own)]
+                mine = every[at : at + len(own)]
                 s = scores[at : at + len(own)]
                 at += len(own)
                 keep = [i for i, p in enumerate(mine) if p.strip()]
