@@ -136,8 +136,6 @@ def holds(document: list[str], item: list[str], offset: int) -> bool:
     straight = [0 <= i + offset < n and document[i + offset] == w for i, w in enumerate(item)]
     if _passage(straight):
         return True
-    if sum(straight) == 0 and n < LEAST:
-        return False
     width = 2 * SLACK + 1
     cost = [0] * width
     back: list[list[int]] = []
@@ -222,7 +220,10 @@ def _offsets(document: list[str], item: list[str], diagonal: int) -> list[int]:
         for j in places.get(w, ()):
             if abs(int(starts_d[j]) - int(starts_i[i]) - diagonal) <= 2 * BAND:
                 votes[j - i] = votes.get(j - i, 0) + 1
-    return sorted(votes, key=lambda o: -votes[o])[: 2 * SLACK + 1]
+    # A passage has that many right words within the band of its diagonal.
+    right = LEAST - LEAST // SHARE
+    able = [o for o in votes if sum(votes.get(o + k, 0) for k in range(-SLACK, SLACK + 1)) >= right]
+    return sorted(able, key=lambda o: -votes[o])
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

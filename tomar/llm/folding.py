@@ -11,6 +11,8 @@ _TABLE = {ord(c): None for c in INVISIBLE}
 _TABLE |= {c: None for c in range(0x300, 0x370)}
 _TABLE |= {ord(a): b.lower() for foreign, latin in IMITATORS.values() for a, b in zip(foreign, latin)}
 _TABLE |= {ord("ı"): "i", ord("ə"): "e", ord("ß"): "ss", ord("æ"): "ae", ord("œ"): "oe", ord("ø"): "o", ord("đ"): "d", ord("ł"): "l"}
+_MARKS = re.compile("[\u0300-\u036f]+")
+_RARE = re.compile("[" + "".join(sorted(chr(c) for c in _TABLE if not 0x300 <= c < 0x370 and c != ord("ı"))).replace("-", "\\-") + "]")
 _WORD = re.compile(r"[^\W_]+")
 _GAPS = re.compile(r"[^\w\n ]+|_")
 
@@ -19,7 +21,9 @@ def fold(text: str) -> str:
     """Lower case without accents, in compatibility form; punctuation and white space stay."""
     if text.isascii():
         return text.lower()
-    return unicodedata.normalize("NFKD", text).lower().translate(_TABLE)
+    plain = _MARKS.sub("", unicodedata.normalize("NFKD", text).lower()).replace("ı", "i")
+    # Only texts with rarer characters pay for a look at each character.
+    return plain.translate(_TABLE) if _RARE.search(plain) else plain
 
 
 def words(text: str) -> list[str]:
