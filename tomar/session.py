@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, name: str = "tomar") -> SparkSession:
@@ -43,3 +44,8 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="tomar-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def checked_broadcast(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df with a broadcast hint if it has few rows, else as it is, for a join by shuffle. df should be cheap to count."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
