@@ -48,11 +48,13 @@ for _read, _right, _p in CONFUSIONS:
 _SKELETON = str.maketrans(
     {**dict.fromkeys("lı1!|İ", "i"), "0": "o", "ö": "o", "a": "o", "5": "s", "ş": "s", "6": "b", "8": "b", "9": "g", "ğ": "g", "2": "z", "e": "c", "ç": "c", "m": "rri", "n": "ri", "d": "ci", "h": "ii", "k": "ic", "ü": "ii", "u": "ii", "w": "vv", "f": "t", "â": "o", "î": "i", "û": "ii"}
 )
+#: The letter that a digit or sign inside a word most often stands for.
+_LETTER = str.maketrans("1056892!|", "losbbgzil")
 _LOWER = str.maketrans("İIÂÎÛ", "iıâîû")
 _UPPER = str.maketrans("iı", "İI")
 _TOKEN = re.compile(r"\S+")
-_PART = re.compile(r"[^\W_]+(?:[!|]+[^\W_]+)*")
-_EDGE = re.compile(r"^[^\w]+|[^\w]+$")
+_PART = re.compile(r"[!|]?[^\W_]+(?:[!|]+[^\W_]+)*\|?")
+_EDGE = re.compile(r"^(?:(?![!|][^\W\d_])\W)+|[^\w|]+$")
 
 
 def lower(word: str) -> str:
@@ -147,8 +149,12 @@ def read_lines(text: str) -> tuple[list[list[tuple[str, bool]]], list[str], list
         own = [(t, False) for t in _TOKEN.findall(line)]
         if not own:
             continue
-        previous = lines[-1] if lines else None
+        previous = next((x for x in reversed(lines) if x), None)
         cut_ = divided(previous[-1][0], line) if previous and previous[-1] else None
+        if previous and previous[-1][0].endswith("!") and own[0][0][0].islower():
+            previous[-1] = (previous[-1][0][:-1] + "|", previous[-1][1])
+        # A sign before a word that goes on in lower case ends no sentence: it is a misread letter.
+        own = [(t[:-1] + "|", s) if t[-1] == "!" and following[0].islower() else (t, s) for (t, s), following in zip(own, [*(t for t, _ in own[1:]), " "])]
         if cut_:
             whole = re.sub(r"[-‐‑¬­]+$", "", previous[-1][0]) + own[0][0]
             previous[-1] = (whole, True)
@@ -158,7 +164,7 @@ def read_lines(text: str) -> tuple[list[list[tuple[str, bool]]], list[str], list
 
 
 def bare(token: str) -> str:
-    """A token without adjacent punctuation."""
+    """A token without adjacent punctuation; signs that are misread letters stay."""
     return _EDGE.sub("", token)
 
 
@@ -222,9 +228,21 @@ def candidates(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 
         return run
 
-    return flat_map(both.select("kelime", "m", "aday", "n"), weigh, "kelime string, m bigint, aday string, n bigint, kanal double").groupBy("kelime", "m").agg(
-        F.collect_list(F.struct("aday", "n", "kanal")).alias("adaylar")
-    )
+    def straight():
+        """Digits and signs between letters stand for letters even in words that no other text has."""
+
+        def run(rows):
+            for r in rows:
+                word = r["kelime"]
+                if re.fullmatch(r"[^\W\d_]+(?:[0-9!|][^\W\d_]+)+", word):
+                    yield word, r["m"], word.translate(_LETTER), 1, math.log(0.02) * sum(not c.isalpha() for c in word)
+
+        return run
+
+    schema = "kelime string, m bigint, aday string, n bigint, kanal double"
+    every = flat_map(both.select("kelime", "m", "aday", "n"), weigh, schema).unionByName(flat_map(sized, straight, schema))
+    best = every.groupBy("kelime", "m", "aday").agg(F.max("n").alias("n"), F.max("kanal").alias("kanal"))
+    return best.groupBy("kelime", "m").agg(F.collect_list(F.struct("aday", "n", "kanal")).alias("adaylar"))
 
 
 def decode(line: list[dict], pair: dict[tuple[str, str], int], total: float) -> list[str]:
@@ -377,7 +395,7 @@ def repaired(text: str, fixed: dict[tuple[int, int], tuple[str, str]]) -> str:
         words = []
         for k, (token, _) in enumerate(line):
             old, new = fixed.get((n, k), ("", ""))
-            words.append(token.replace(old, new, 1) if old else token)
+            words.append(token.replace(old, new, 1) if old else re.sub(r"\|$", "!", token))
         out += [" ".join(words), ends[n] if n < len(ends) else " "]
     return "".join(out).strip()
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from .folding import fold
-
 _DIGITS = str.maketrans({"l": "1", "I": "1", "ı": "1", "|": "1", "i": "1", "!": "1", "O": "0", "o": "0", "S": "5", "B": "8", "Z": "2", "z": "2"})
 _N = r"[0-9lIıi|!OoSBZz]{1,4}"
 # Named notations of a page number that stands alone on its line.
@@ -108,8 +106,12 @@ def layout(text: str) -> Layout:
     # The edges of the pages: at form feeds, and at page numbers where the text has no form feeds.
     breaks = sorted({*feeds, *((i + 1 if not _first_on_page(i, filled, out.numbers, feeds) else i) for i in (out.numbers if not feeds else ()))})
     body = [i for i in filled if i not in out.numbers]
-    if not body or not breaks:
+    if not body:
         return out
+    plain = {i: "".join(c for c in text[slice(*out.lines[i])] if c.isalnum()) for i in body}
+    if not breaks:
+        out.running |= _recurring(text, out.lines, body, plain)
+        return _spread(out, body, plain)
     heads, feet = [], []
     marks = [0, *breaks, len(out.lines)]
     for a, b in zip(marks, marks[1:]):
@@ -119,14 +121,44 @@ def layout(text: str) -> Layout:
             if own[-1] != own[0]:
                 feet.append(own[-1])
     for side in (heads, feet):
-        folded = {i: "".join(c for c in fold(text[slice(*out.lines[i])]) if c.isalnum()) for i in side}
         best: list[int] = []
         for i in side:
-            group = [j for j in side if _similar(folded[i], folded[j])]
+            group = [j for j in side if _similar(plain[i], plain[j])]
             if len(group) > len(best):
                 best = group
-        if len(best) >= 2 and 2 * len(best) >= len(side) and all(folded[i] for i in best):
+        if len(best) >= 2 and 2 * len(best) >= len(side) and all(plain[i] for i in best):
             out.running |= set(best)
+    return _spread(out, body, plain)
+
+
+def _spread(out: Layout, body: list[int], plain: dict[int, str]) -> Layout:
+    """The lines that are like a running line, or like the first line, wherever they stand below the letterhead."""
+    seeds = {plain[i] for i in out.running}
+    first = plain[body[0]]
+    if len(first) >= 6 and any(_similar(first, plain[i]) for i in body[5:]):
+        seeds.add(first)
+        out.running.add(body[0])
+    if seeds:
+        out.running |= {i for k, i in enumerate(body) if (k == 0 or k > 4) and any(_similar(s, plain[i]) for s in seeds)}
+    return out
+
+
+def _recurring(text: str, lines: list[tuple[int, int]], body: list[int], plain: dict[int, str]) -> set[int]:
+    """Running lines of a text without page breaks: whole lines that recur far apart and end no sentence."""
+    able = []
+    for k, i in enumerate(body):
+        line = text[slice(*lines[i])].strip()
+        if 8 <= len(line) <= 120 and line[-1] not in ".,;:!?)¬-" and ":" not in line and line[0].isupper() and (k == 0 or k > 4):
+            able.append((k, i))
+    out: set[int] = set()
+    for k, i in able:
+        if i in out:
+            continue
+        group = [(n, j) for n, j in able if _similar(plain[i], plain[j])]
+        if len(group) >= 2 and min(b[0] - a[0] for a, b in zip(group, group[1:])) >= 6:
+            out |= {j for _, j in group}
+        elif len(group) == 1 and k > 4 and len(plain[i]) > 10 and any(_similar(plain[i], plain[j]) for j in body[1:5]):
+            out.add(i)  # the letterhead once more
     return out
 
 
@@ -183,7 +215,7 @@ def continuous(text: str) -> str:
     """The text without page numbers and running lines, divided words joined; for comparisons."""
     if "\n" not in text:
         return text
-    found = layout(text) if ("\f" in text or _MAY_BE_PAGED.search(text)) else None
+    found = layout(text) if ("\f" in text or _MAY_BE_PAGED.search(text) or text.count("\n") > 24) else None
     lines = [text[a:b] for a, b in (body_lines(text, found) if found else [(0, 0)])] if found else text.split("\n")
     out: list[str] = []
     for line in lines:
