@@ -38,8 +38,8 @@ def references(documents: DataFrame) -> DataFrame:
 def similar_subjects(documents: DataFrame, least: float = LEAST_JACCARD, cover: float = LEAST_COVER) -> DataFrame:
     """(src, dst, jaccard): src < dst with similar subjects and a common party; documents(id, subject, parties array).
 
-    Documents with the same subject tokens and party tokens form a class, and pairs are built between classes; those
-    within a class come as a chain of its members in order of id, which keeps every link of the component.
+    Documents with the same subject tokens and party tokens form a class, and pairs are built between classes; the
+    members of a class come linked to the smallest of them, which keeps every component whole.
     """
     shaped = documents.select("id", F.array_sort(F.array_distinct(tokens(F.coalesce("subject", F.lit(""))))).alias("s"), F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce("parties", F.array().cast("array<string>")), lambda p: F.array_join(F.array_sort(F.array_distinct(tokens(p))), " ")), lambda p: p != ""))).alias("p")).where("size(s) > 0 and size(p) > 0")
     classed = shaped.withColumn("c", F.xxhash64("s", "p"))
