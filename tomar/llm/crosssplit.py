@@ -8,8 +8,10 @@ different splits are candidates. Candidates are verified by the exact Jaccard si
 the words in the same order (longest common subsequence against the longer text). Confirmed pairs are
 expanded to the members of both classes and aggregated by split and channel.
 
-Buckets with many members are salted: the training side is spread over as many salts as it has times
-``SALT`` members, and the other side is repeated for each salt, so no pair is lost and no task gets a whole hot bucket.
+Words are compared by their skeleton, in which characters that scans exchange are alike. Buckets with many
+members are salted: the training side of a hot bucket is spread over as many slices as it has times ``SALT``
+members, and the other side is repeated for each slice, so no pair is lost and no task gets a whole hot bucket. Which
+buckets are hot is estimated from one class in ``PROBE``; the estimate decides on the slices only, never on the pairs.
 
 Defined cases: null texts and texts without letters or digits pair with nothing; repeated rows count once; rows of
 other splits or without split are left out; a record pairs at most once with another, whatever their order; extra columns are ignored.
@@ -23,30 +25,31 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomar.session import cut, table
+from tomar.session import checked_broadcast, cut, table
 
 from .folding import fold, words
+from .ocrnoise import skeleton
 from .rows import flat_map
 from .scan import continuous
 
 TRAINING, EVALUATION = "dev", ("h", "v2", "v3", "v4")
-SHINGLE, BANDS, ROWS, SALT = 2, 40, 4, 256
+SHINGLE, BANDS, ROWS, SALT, PROBE = 2, 40, 5, 512, 16
 LEAST_JACCARD, LEAST_ORDER = 0.2, 0.75
 
 
-def plain_words(text: str | None) -> list[str]:
-    """The words of a text as they are compared."""
-    return words(fold(continuous(text))) if text else []
+def plain_words(text: str | None) -> list[int]:
+    """The words of a text as they are compared, hashed."""
+    return [hash_of(w) for w in words(fold(continuous(text)))] if text else []
 
 
-def shingles(own: list[str], size: int = SHINGLE) -> set[tuple[str, ...]]:
+def shingles(own: list[int], size: int = SHINGLE) -> set[tuple[int, ...]]:
     """The word shingles of a text; a shorter text is one shingle."""
     return set(zip(*(own[i:] for i in range(size)))) if len(own) >= size else ({tuple(own)} if own else set())
 
 
-def in_order(a: list[str], b: list[str]) -> int:
+def in_order(a: list[int], b: list[int]) -> int:
     """The length of the longest common subsequence of two word lists, by bits."""
-    places: dict[str, int] = {}
+    places: dict[int, int] = {}
     for i, w in enumerate(a):
         places[w] = places.get(w, 0) | 1 << i
     full = row = (1 << len(a)) - 1
@@ -56,7 +59,7 @@ def in_order(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def nearly_same(a: list[str], b: list[str]) -> tuple[float, float] | None:
+def nearly_same(a: list[int], b: list[int]) -> tuple[float, float] | None:
     """(Jaccard similarity of the shingles, share of the longer text in order) of a confirmed pair."""
     x, y = shingles(a), shingles(b)
     common = len(x & y)
@@ -77,8 +80,8 @@ class Signer:
         self.shift = random.integers(0, 1 << 62, bands * rows, dtype=np.uint64)
         self.mix = random.integers(1, 1 << 62, rows, dtype=np.uint64) | np.uint64(1)
 
-    def __call__(self, own: list[str]) -> list[int]:
-        h = np.array([hash_of(w) for w in own], dtype=np.uint64)
+    def __call__(self, own: list[int]) -> list[int]:
+        h = np.array(own, dtype=np.uint64)
         h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:] if len(h) > 1 else h
         h = np.unique(h)
         least = None
@@ -87,19 +90,19 @@ class Signer:
             part = (part ^ (part >> np.uint64(33))).min(axis=0)
             least = part if least is None else np.minimum(least, part)
         mixed = (least.reshape(self.bands, self.rows) * self.mix).sum(axis=1, dtype=np.uint64)
-        return mixed.view(np.int64).tolist()
+        return (mixed >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()
 
 
 _cache: dict[str, int] = {}
 
 
 def hash_of(word: str) -> int:
-    """A 64-bit hash of a word that is the same on every machine."""
+    """A 64-bit hash of a word's skeleton that is the same on every machine."""
     value = _cache.get(word)
     if value is None:
         if len(_cache) > 200_000:
             _cache.clear()
-        value = _cache[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        value = _cache[word] = int.from_bytes(hashlib.blake2b(skeleton(word).encode(), digest_size=8).digest(), "little")
     return value
 
 
@@ -122,64 +125,71 @@ def signed(rows: DataFrame) -> DataFrame:
             for r in batch:
                 own = plain_words(r["metin"])
                 if own:
-                    name = hashlib.blake2b(" ".join(own).encode(), digest_size=12).hexdigest()
-                    yield r["alan"], r["evrak_id"], r["kume"] == TRAINING, name, sign(own)
+                    name = hashlib.blake2b(np.array(own, dtype=np.uint64).tobytes(), digest_size=8).digest()
+                    yield r["alan"], r["evrak_id"], r["kume"] == TRAINING, int.from_bytes(name, "little", signed=True), sign(own)
 
         return run
 
-    return flat_map(rows.select("alan", "evrak_id", "kume", "metin"), make, "alan string, evrak_id bigint, egitim boolean, sinif string, kovalar array<bigint>")
+    return flat_map(rows.select("alan", "evrak_id", "kume", "metin"), make, "alan string, evrak_id bigint, egitim boolean, sinif bigint, kovalar array<int>")
 
 
-def candidates(classes: DataFrame, salt: int = SALT) -> DataFrame:
+def candidates(classes: DataFrame, salt: int = SALT, probe: int = PROBE) -> DataFrame:
     """(alan, a, b): pairs of different classes, a with a training record, that share a bucket."""
-    banded = classes.select("alan", "sinif", "egitim", "sinama", F.posexplode("kovalar").alias("bant", "kova"))
-    key = ["alan", "bant", "kova"]
-    sizes = banded.groupBy(*key).agg(F.sum(F.col("egitim").cast("int")).alias("n"), F.sum(F.col("sinama").cast("int")).alias("m")).where("n > 0 and m > 0 and n + m > 1")
-    spread = sizes.select(*key, F.ceil(F.col("n") / salt).cast("int").alias("tuz"))
-    useful = banded.join(spread, key)
-    left = useful.where("egitim").select(*key, F.col("sinif").alias("a"), F.pmod(F.hash("sinif"), F.col("tuz")).alias("dilim"))
-    right = useful.where("sinama").select(*key, F.col("sinif").alias("b"), F.explode(F.sequence(F.lit(0), F.col("tuz") - 1)).alias("dilim"))
-    return left.join(right, [*key, "dilim"]).where("a <> b").select("alan", "a", "b").distinct()
+    # Field, band and bucket in one number.
+    key = (F.lit(1) * F.when(F.col("alan") == "raw_text", 0).otherwise(1)).cast("bigint") * F.lit(1 << 40) + F.col("bant").cast("bigint") * F.lit(1 << 32) + F.col("kova").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))
+    banded = classes.select("alan", "sinif", "egitim", "sinama", F.posexplode("kovalar").alias("bant", "kova")).select("sinif", "egitim", "sinama", key.alias("k"))
+    seen = banded.where(F.col("egitim") & (F.pmod(F.col("sinif"), F.lit(probe)) == 0)).groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") * probe > salt)
+    hot = cut(seen.select("k", F.ceil(F.col("n") * probe / salt).cast("int").alias("tuz")))
+    left = banded.where("egitim").select("k", F.col("sinif").alias("a"))
+    right = banded.where("sinama").select("k", F.col("sinif").alias("b"))
+    on = ["k"]
+    if not hot.isEmpty():
+        few = checked_broadcast(hot)
+        left = left.join(few, "k", "left").select("k", "a", F.pmod(F.hash("a"), F.coalesce("tuz", F.lit(1))).alias("dilim"))
+        right = right.join(few, "k", "left").select("k", "b", F.explode(F.sequence(F.lit(0), F.coalesce("tuz", F.lit(1)) - 1)).alias("dilim"))
+        on = ["k", "dilim"]
+    return left.join(right, on).where("a <> b").select(F.when(F.col("k") < 1 << 40, "raw_text").otherwise("aciklama").alias("alan"), "a", "b").distinct()
 
 
 def verified(pairs: DataFrame, rows: DataFrame, representatives: DataFrame) -> DataFrame:
     """The candidates that are nearly the same: (alan, a, b, benzerlik, sirali)."""
-    needed = pairs.select("alan", F.explode(F.array("a", "b")).alias("sinif")).distinct().join(representatives, ["alan", "sinif"])
-    texts = rows.join(needed, ["alan", "evrak_id"]).groupBy("alan", "sinif").agg(F.min_by("metin", F.xxhash64("metin")).alias("metin"))
-    both = pairs.join(texts.select("alan", F.col("sinif").alias("a"), F.col("metin").alias("metin_a")), ["alan", "a"]).join(
-        texts.select("alan", F.col("sinif").alias("b"), F.col("metin").alias("metin_b")), ["alan", "b"]
-    )
+    needed = cut(pairs.select("alan", F.explode(F.array("a", "b")).alias("sinif")).distinct().join(representatives, ["alan", "sinif"]))
+    texts = rows.join(checked_broadcast(needed), ["alan", "evrak_id"]).groupBy("alan", "sinif").agg(F.min_by("metin", F.xxhash64("metin")).alias("metin"))
+
+    def fold_():
+        def run(batch):
+            for r in batch:
+                yield r["alan"], r["sinif"], [w - (1 << 64) if w >> 63 else w for w in plain_words(r["metin"])]
+
+        return run
 
+    plain = flat_map(texts, fold_, "alan string, sinif bigint, kelimeler array<bigint>")
+    both = pairs.join(plain.select("alan", F.col("sinif").alias("a"), F.col("kelimeler").alias("ka")), ["alan", "a"]).join(plain.select("alan", F.col("sinif").alias("b"), F.col("kelimeler").alias("kb")), ["alan", "b"])
     def make():
         def run(batch):
-            seen: dict[str, list[str]] = {}
             for r in batch:
-                own = []
-                for name, text in ((r["a"], r["metin_a"]), (r["b"], r["metin_b"])):
-                    if name not in seen:
-                        seen[name] = plain_words(text)
-                    own.append(seen[name])
-                found = nearly_same(*own)
+                found = nearly_same(r["ka"], r["kb"])
                 if found:
                     yield r["alan"], r["a"], r["b"], round(found[0], 6), round(found[1], 6)
 
         return run
 
-    return flat_map(both, make, "alan string, a string, b string, benzerlik double, sirali double")
+    return flat_map(both, make, "alan string, a bigint, b bigint, benzerlik double, sirali double")
 
 
 def overlaps(rows: DataFrame) -> DataFrame:
     """(alan, egitim_id, sinama_id, benzerlik, sirali): every confirmed pair of rows(alan, evrak_id, kume, metin)."""
-    members = cut(signed(rows).dropDuplicates(["alan", "evrak_id", "egitim", "sinif"]))
+    members = cut(signed(rows))
     classes = members.groupBy("alan", "sinif").agg(
         F.bool_or("egitim").alias("egitim"), F.bool_or(~F.col("egitim")).alias("sinama"), F.min("evrak_id").alias("evrak_id"), F.first("kovalar").alias("kovalar")
     )
-    near = verified(candidates(classes), rows, classes.select("alan", "sinif", "evrak_id"))
+    near = verified(cut(candidates(classes)), rows, classes.select("alan", "sinif", "evrak_id"))
     same = classes.where("egitim and sinama").select("alan", F.col("sinif").alias("a"), F.col("sinif").alias("b"), F.lit(1.0).alias("benzerlik"), F.lit(1.0).alias("sirali"))
-    links = near.unionByName(same)
-    left = members.where("egitim").select("alan", F.col("sinif").alias("a"), F.col("evrak_id").alias("egitim_id"))
-    right = members.where("not egitim").select("alan", F.col("sinif").alias("b"), F.col("evrak_id").alias("sinama_id"))
-    return links.join(left, ["alan", "a"]).join(right, ["alan", "b"]).where("egitim_id <> sinama_id").select("alan", "egitim_id", "sinama_id", "benzerlik", "sirali")
+    links = cut(near.unionByName(same))
+    of = members.select("alan", "evrak_id", "egitim", "sinif").distinct()
+    left = of.where("egitim").select("alan", F.col("sinif").alias("a"), F.col("evrak_id").alias("egitim_id"))
+    right = of.where("not egitim").select("alan", F.col("sinif").alias("b"), F.col("evrak_id").alias("sinama_id"))
+    return checked_broadcast(links).join(left, ["alan", "a"]).join(right, ["alan", "b"]).where("egitim_id <> sinama_id").select("alan", "egitim_id", "sinama_id", "benzerlik", "sirali")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
