@@ -67,13 +67,20 @@ def gate(confidence: Column | str, threshold: float = 0.6) -> Column:
 def nearest(queries: DataFrame, candidates: DataFrame, threshold: float = 0.75, similarity=None) -> DataFrame:
     """(q, candidate, similarity): the most similar of candidates(c) to each of queries(q) above a threshold, the first where tied.
 
-    Candidates are compared where they share two neighbouring letters with the query, which any pair above the
-    threshold does; the equality join on them takes the place of a cross join.
+    Candidates are compared where they share two neighbouring letters, the first or the last letter with the query, which
+    any pair of a similarity of 0.75 or more does (one edit leaves one end, and more edits mean longer words); the equality join takes
+    the place of a cross join. Lower thresholds are refused.
     """
     from tomar.functions.sequential import osa_similarity
 
-    pairs_of = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(2))))
+    if threshold < 0.75:
+        raise ValueError("the keys are exact from 0.75 on")
+
+    def pairs_of(c: str) -> Column:
+        inner = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(2)))
+        return F.array_distinct(F.concat(inner, F.array(F.concat(F.lit("^"), F.left(c, F.lit(1))), F.concat(F.right(c, F.lit(1)), F.lit("$")))))
+
     a = queries.select("q").distinct().select("q", F.explode(pairs_of("q")).alias("g"))
     b = candidates.select("c").distinct().select("c", F.explode(pairs_of("c")).alias("g"))
     both = a.join(b, "g").select("q", "c").distinct().withColumn("s", (similarity or osa_similarity)("q", "c")).where(F.col("s") >= threshold)
-    return both.groupBy("q").agg(F.max_by(F.struct("c", "s"), F.struct("s", F.struct((-F.length("c")).alias("l")))).alias("x")).select("q", F.col("x.c").alias("candidate"), F.col("x.s").alias("similarity"))
+    return both.groupBy("q").agg(F.min_by(F.struct("c", "s"), F.struct((-F.col("s")).alias("s"), "c")).alias("x")).select("q", F.col("x.c").alias("candidate"), F.col("x.s").alias("similarity"))
