@@ -8,6 +8,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Abbreviations whose full stop ends no sentence.
 ABBREVIATIONS = frozenset("dr av prof doç yrd uzm öğr arş sn mah sk sok cad cd bulv blv apt no kat vb vs vd bkz örn md hk tel".split())
@@ -118,32 +119,32 @@ def perturbed(text: str, kind: str, seed: int) -> str:
     raise ValueError(f"no such perturbation: {kind}")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def sentences(texts: pd.Series) -> pd.Series:
     return texts.map(split_sentences)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else osa(x, y) for x, y in zip(a, b)], dtype="Int32")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def osa_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rouge_l_f1(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([rouge_l(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("array<struct<start:int,end:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType())))
 def literal_spans(texts: pd.Series, values: pd.Series) -> pd.Series:
     return pd.Series([spans(t, v) for t, v in zip(texts, values)])
 
@@ -151,7 +152,7 @@ def literal_spans(texts: pd.Series, values: pd.Series) -> pd.Series:
 def variants(kinds: tuple[str, ...] = PERTURBATIONS, seed: int = 1234):
     """A column function: array of (kind, text) variants of each text; seeds follow from the text's kind."""
 
-    @F.pandas_udf("array<struct<tur:string,metin:string>>")
+    @F.pandas_udf(T.ArrayType(T.StructType().add("tur", T.StringType()).add("metin", T.StringType())))
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [] if t is None else [{"tur": k, "metin": perturbed(t, k, seed + n)} for n, k in enumerate(kinds)])
 
@@ -183,6 +184,6 @@ def evaluate(expression: str | None) -> float | None:
         return None
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def arithmetic(texts: pd.Series) -> pd.Series:
     return pd.Series([evaluate(t) for t in texts], dtype="float64")

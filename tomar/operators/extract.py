@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tomar.functions.dates import MONTHS, parse_date
 from tomar.functions.text import tr_lower
@@ -165,7 +166,7 @@ def distribution_of(text: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-@F.pandas_udf("struct<kurumlar:array<string>,imzalayanlar:array<string>,dagitim:array<string>>")
+@F.pandas_udf(T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("kurumlar", "imzalayanlar", "dagitim")]))
 def line_fields(texts: pd.Series) -> pd.DataFrame:
     """Institutions, signers and distribution of each text."""
     own = texts.fillna("")

@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import documents, metrics, register, retrieval, text
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _module in (retrieval, register, text, metrics, documents):
+    QUERIES.update(_module.QUERIES)
+    SQL.update(_module.SQL)
