@@ -50,7 +50,6 @@ _SKELETON = str.maketrans(
 )
 #: The letter that a digit or sign inside a word most often stands for.
 _LETTER = str.maketrans("1056892!|", "losbbgzil")
-_LOWER = str.maketrans("İIÂÎÛ", "iıâîû")
 _UPPER = str.maketrans("iı", "İI")
 _TOKEN = re.compile(r"\S+")
 _PART = re.compile(r"[!|]?[^\W_]+(?:[!|]+[^\W_]+)*\|?")
@@ -59,7 +58,7 @@ _EDGE = re.compile(r"^(?:(?![!|][^\W\d_])\W)+|[^\w|]+$")
 
 def lower(word: str) -> str:
     """Turkish lower case."""
-    return word.translate(_LOWER).lower()
+    return word.replace("İ", "i").replace("I", "ı").lower()
 
 
 def skeleton(word: str) -> str:
@@ -177,6 +176,17 @@ def readings(scanned: DataFrame, known: frozenset[str]) -> DataFrame:
 
     def make():
         frequent = shared.value
+        seen: dict[str, tuple[str, list[tuple[int, str]]]] = {}
+
+        def look(token: str) -> tuple[str, list[tuple[int, str]]]:
+            """A token without its edges, and its words with their places; kept for the next time."""
+            found = seen.get(token)
+            if found is None:
+                if len(seen) > 200_000:
+                    seen.clear()
+                own = bare(token)
+                found = seen[token] = own, [(at, lower(p)) for at, p in parts(own)]
+            return found
 
         def run(rows):
             for r in rows:
@@ -186,13 +196,12 @@ def readings(scanned: DataFrame, known: frozenset[str]) -> DataFrame:
                     for line in dict.fromkeys(own):
                         yield *head, kind, -1, -1, -1, line, None, None, None
                 for n, line in enumerate(lines):
-                    words = [(k, at, p) for k, (t, _) in enumerate(line) for at, p in parts(bare(t))]
-                    small = [lower(p) for _, _, p in words]
-                    for i, (k, at, p) in enumerate(words):
-                        if small[i] not in frequent:
-                            before = small[i - 1] if i else "<s>"
-                            after = small[i + 1] if i + 1 < len(words) else "</s>"
-                            yield *head, "kelime", n, k, at, bare(line[k][0]), small[i], before, after
+                    words = [(k, at, w) for k, (t, _) in enumerate(line) for at, w in look(t)[1]]
+                    for i, (k, at, w) in enumerate(words):
+                        if w not in frequent:
+                            before = words[i - 1][2] if i else "<s>"
+                            after = words[i + 1][2] if i + 1 < len(words) else "</s>"
+                            yield *head, "kelime", n, k, at, look(line[k][0])[0], w, before, after
                     for k, (t, split) in enumerate(line):
                         if split:
                             yield *head, "heceleme", n, k, -1, bare(t), None, None, None

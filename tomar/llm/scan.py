@@ -16,7 +16,7 @@ _NUMBER_LINES = [
     ("bare", re.compile(rf"({_N})")),
 ]
 _STRONG = {"word"}
-_LINE = re.compile(r"[^\n\f]*")
+_NOT_PLAIN = re.compile(r"[\W_]+")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐‑¬­][ \t]*$")
 
 
@@ -49,22 +49,32 @@ def number_line(line: str) -> tuple[str, int] | None:
     return None
 
 
-def _similar(a: str, b: str, most: float = 0.25) -> bool:
-    """Whether two folded lines are the same but for misread characters."""
+def _similar(a: str, b: str, share: int = 5) -> bool:
+    """Whether two lines are the same but for misread characters: one in ``share`` at most."""
     if a == b:
         return True
-    if not a or not b or abs(len(a) - len(b)) > most * max(len(a), len(b)):
+    long = max(len(a), len(b))
+    if not a or not b or abs(len(a) - len(b)) * share > long:
         return False
-    cap = int(most * max(len(a), len(b)))
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        if min(new) > cap:
-            return False
-        row = new
-    return row[-1] <= cap
+    # With fewer edits than blocks of that many characters, one block is whole in the other line.
+    return any(a[i : i + share] in b for i in range(0, len(a) - share + 1, share)) and edits(a, b) * share <= long
+
+
+def edits(a: str, b: str) -> int:
+    """The edit distance of two strings, a whole column of the table at a time as the bits of a number."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = full, 0, len(a)
+    for c in b:
+        hit = places.get(c, 0)
+        flat = (((hit & up) + up) ^ up) | hit | down
+        right, left = down | (full & ~(flat | up)), up & flat
+        distance += bool(right & top) - bool(left & top)
+        right, left = ((right << 1) | 1) & full, (left << 1) & full
+        up, down = left | (full & ~(flat | right)), right & flat
+    return distance
 
 
 def layout(text: str) -> Layout:
@@ -108,7 +118,7 @@ def layout(text: str) -> Layout:
     body = [i for i in filled if i not in out.numbers]
     if not body:
         return out
-    plain = {i: "".join(c for c in text[slice(*out.lines[i])] if c.isalnum()) for i in body}
+    plain = {i: _NOT_PLAIN.sub("", text[slice(*out.lines[i])]) for i in body}
     if not breaks:
         out.running |= _recurring(text, out.lines, body, plain)
         return _spread(out, body, plain)
