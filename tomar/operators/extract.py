@@ -46,7 +46,7 @@ def amounts(c: Column | str) -> Column:
 
 def phones(c: Column | str) -> Column:
     """Phone numbers of ten to twelve digits."""
-    return F.filter(F.transform(_all(c, PHONE), F.trim), lambda x: F.length(F.regexp_replace(x, "[^0-9]", "")).between(10, 14))
+    return F.filter(F.transform(_all(c, PHONE), lambda x: F.trim(x)), lambda x: F.length(F.regexp_replace(x, "[^0-9]", "")).between(10, 14))
 
 
 def national_number_valid(c: Column | str) -> Column:
@@ -96,7 +96,7 @@ def document_date(c: Column | str) -> Column:
 
 def reference_lines(c: Column | str) -> Column:
     """The texts of the reference lines: 'İlgi : ...' and lettered items after it."""
-    return F.transform(_all(c, r"(?md)^[ \t]*(?:İlgi[ \t]*:[ \t]*(?:[a-zç]\)[ \t]*)?|[a-zç]\)[ \t]+)([^\n]*(?:sayılı|tarihli)[^\n]*)", 1), F.trim)
+    return F.transform(_all(c, r"(?md)^[ \t]*(?:İlgi[ \t]*:[ \t]*(?:[a-zç]\)[ \t]*)?|[a-zç]\)[ \t]+)([^\n]*(?:sayılı|tarihli)[^\n]*)", 1), lambda x: F.trim(x))
 
 
 def recipient(c: Column | str) -> Column:

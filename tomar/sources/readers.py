@@ -57,7 +57,7 @@ def legislation(files: DataFrame) -> DataFrame:
     header = lambda name: F.nullif(F.trim(F.regexp_extract("text", rf"(?mid)^#\s*{name}\s*:\s*([^\n]+)", 1)), F.lit(""))
     own = files.select(
         F.regexp_replace("file", r"\.[^.]+$", "").alias("doc_id"), header("(?:Başlık|Title)").alias("title"), header("(?:Kaynak|Source)").alias("source"),
-        F.filter(F.transform(F.split(F.coalesce(header("(?:Anahtar|Keywords)[^:]*"), F.lit("")), ","), F.trim), lambda x: x != "").alias("keywords"), F.posexplode(F.split("text", r"(?m)^\s*## ")).alias("pos", "part"),
+        F.filter(F.transform(F.split(F.coalesce(header("(?:Anahtar|Keywords)[^:]*"), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "").alias("keywords"), F.posexplode(F.split("text", r"(?m)^\s*## ")).alias("pos", "part"),
     ).where("pos > 0")
     shaped = own.select("doc_id", "title", "source", "keywords", "pos", F.trim(F.regexp_extract("part", r"^[^\n]*", 0)).alias("section"), F.trim(F.regexp_replace("part", r"^[^\n]*\n?", "")).alias("body"))
     return shaped.select("*", article_references(F.concat_ws(" ", "section", "body")).alias("articles"), tokens(F.concat_ws(" ", "title", "section", "body", F.array_join("keywords", " "))).alias("tokens"))
