@@ -33,7 +33,7 @@ from .rows import flat_map
 from .scan import continuous
 
 TRAINING, EVALUATION = "dev", ("h", "v2", "v3", "v4")
-SHINGLE, BANDS, ROWS, SALT, PROBE = 2, 40, 5, 512, 16
+SHINGLE, BANDS, ROWS, SALT, PROBE = 2, 48, 4, 512, 16
 LEAST_JACCARD, LEAST_ORDER = 0.2, 0.75
 
 
@@ -179,6 +179,7 @@ def verified(pairs: DataFrame, rows: DataFrame, representatives: DataFrame) -> D
 
 def overlaps(rows: DataFrame) -> DataFrame:
     """(alan, egitim_id, sinama_id, benzerlik, sirali): every confirmed pair of rows(alan, evrak_id, kume, metin)."""
+    rows = rows.select("alan", "evrak_id", "kume", "metin")
     members = cut(signed(rows))
     classes = members.groupBy("alan", "sinif").agg(
         F.bool_or("egitim").alias("egitim"), F.bool_or(~F.col("egitim")).alias("sinama"), F.min("evrak_id").alias("evrak_id"), F.first("kovalar").alias("kovalar")

@@ -11,7 +11,8 @@ The ``FREQUENT`` most frequent words are held as known and aren't looked up agai
 reaches the driver. Words are corrected inside a token; the token keeps its letter case.
 
 Defined cases: null and empty texts give nothing; texts that were not scanned are left as they are; without any
-unscanned text there is no language model and no word is changed; a text of one page has no running line; repeated
+unscanned text there is no language model, and only words with a digit or sign between letters are changed, to the letters
+that these most often stand for; a text of one page has no running line; repeated
 rows give their findings once; extra columns are ignored.
 """
 
