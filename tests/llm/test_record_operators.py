@@ -62,7 +62,7 @@ def test_overlaps_against_brute_force(spark):
 
 def test_hot_buckets_are_sliced_without_loss(spark):
     rows = [("raw_text", i, i % 3 > 0, i % 3 == 0, [7, i]) for i in range(300)]
-    classes = spark.createDataFrame([(a, s, e, t, k) for a, s, e, t, k in rows], "alan string, sinif long, egitim boolean, sinama boolean, kovalar array<int>")
+    classes = spark.createDataFrame([(a, s, e, t, 10, k) for a, s, e, t, k in rows], "alan string, sinif long, egitim boolean, sinama boolean, boy int, kovalar array<int>")
     plain = {(r.a, r.b) for r in crosssplit.candidates(classes, salt=10**6).collect()}
     sliced = {(r.a, r.b) for r in crosssplit.candidates(classes, salt=4, probe=2).collect()}
     assert plain == sliced and len(plain) == 200 * 100

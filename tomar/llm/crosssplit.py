@@ -116,7 +116,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signed(rows: DataFrame) -> DataFrame:
-    """(alan, evrak_id, egitim, sinif, kovalar): the class of each record and the buckets of its bands."""
+    """(alan, evrak_id, egitim, sinif, boy, kovalar): the class of each record, its words and the buckets of its bands."""
 
     def make():
         sign = Signer()
@@ -126,29 +126,33 @@ def signed(rows: DataFrame) -> DataFrame:
                 own = plain_words(r["metin"])
                 if own:
                     name = hashlib.blake2b(np.array(own, dtype=np.uint64).tobytes(), digest_size=8).digest()
-                    yield r["alan"], r["evrak_id"], r["kume"] == TRAINING, int.from_bytes(name, "little", signed=True), sign(own)
+                    yield r["alan"], r["evrak_id"], r["kume"] == TRAINING, int.from_bytes(name, "little", signed=True), len(own), sign(own)
 
         return run
 
-    return flat_map(rows.select("alan", "evrak_id", "kume", "metin"), make, "alan string, evrak_id bigint, egitim boolean, sinif bigint, kovalar array<int>")
+    return flat_map(rows.select("alan", "evrak_id", "kume", "metin"), make, "alan string, evrak_id bigint, egitim boolean, sinif bigint, boy int, kovalar array<int>")
 
 
 def candidates(classes: DataFrame, salt: int = SALT, probe: int = PROBE) -> DataFrame:
-    """(alan, a, b): pairs of different classes, a with a training record, that share a bucket."""
+    """(alan, a, b): pairs of different classes, a with a training record, that share a bucket.
+
+    Pairs whose lengths alone rule out enough words in order are left out at once.
+    """
     # Field, band and bucket in one number.
     key = (F.lit(1) * F.when(F.col("alan") == "raw_text", 0).otherwise(1)).cast("bigint") * F.lit(1 << 40) + F.col("bant").cast("bigint") * F.lit(1 << 32) + F.col("kova").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))
-    banded = classes.select("alan", "sinif", "egitim", "sinama", F.posexplode("kovalar").alias("bant", "kova")).select("sinif", "egitim", "sinama", key.alias("k"))
+    banded = classes.select("alan", "sinif", "egitim", "sinama", "boy", F.posexplode("kovalar").alias("bant", "kova")).select("sinif", "egitim", "sinama", "boy", key.alias("k"))
     seen = banded.where(F.col("egitim") & (F.pmod(F.col("sinif"), F.lit(probe)) == 0)).groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") * probe > salt)
     hot = cut(seen.select("k", F.ceil(F.col("n") * probe / salt).cast("int").alias("tuz")))
-    left = banded.where("egitim").select("k", F.col("sinif").alias("a"))
-    right = banded.where("sinama").select("k", F.col("sinif").alias("b"))
+    left = banded.where("egitim").select("k", F.col("sinif").alias("a"), F.col("boy").alias("na"))
+    right = banded.where("sinama").select("k", F.col("sinif").alias("b"), F.col("boy").alias("nb"))
     on = ["k"]
     if not hot.isEmpty():
         few = checked_broadcast(hot)
-        left = left.join(few, "k", "left").select("k", "a", F.pmod(F.hash("a"), F.coalesce("tuz", F.lit(1))).alias("dilim"))
-        right = right.join(few, "k", "left").select("k", "b", F.explode(F.sequence(F.lit(0), F.coalesce("tuz", F.lit(1)) - 1)).alias("dilim"))
+        left = left.join(few, "k", "left").select("k", "a", "na", F.pmod(F.hash("a"), F.coalesce("tuz", F.lit(1))).alias("dilim"))
+        right = right.join(few, "k", "left").select("k", "b", "nb", F.explode(F.sequence(F.lit(0), F.coalesce("tuz", F.lit(1)) - 1)).alias("dilim"))
         on = ["k", "dilim"]
-    return left.join(right, on).where("a <> b").select(F.when(F.col("k") < 1 << 40, "raw_text").otherwise("aciklama").alias("alan"), "a", "b").distinct()
+    long_enough = F.least("na", "nb") >= F.lit(LEAST_ORDER) * F.greatest("na", "nb")
+    return left.join(right, on).where("a <> b").where(long_enough).select(F.when(F.col("k") < 1 << 40, "raw_text").otherwise("aciklama").alias("alan"), "a", "b").distinct()
 
 
 def verified(pairs: DataFrame, rows: DataFrame, representatives: DataFrame) -> DataFrame:
@@ -182,7 +186,7 @@ def overlaps(rows: DataFrame) -> DataFrame:
     rows = rows.select("alan", "evrak_id", "kume", "metin")
     members = cut(signed(rows))
     classes = members.groupBy("alan", "sinif").agg(
-        F.bool_or("egitim").alias("egitim"), F.bool_or(~F.col("egitim")).alias("sinama"), F.min("evrak_id").alias("evrak_id"), F.first("kovalar").alias("kovalar")
+        F.bool_or("egitim").alias("egitim"), F.bool_or(~F.col("egitim")).alias("sinama"), F.min("evrak_id").alias("evrak_id"), F.first("boy").alias("boy"), F.first("kovalar").alias("kovalar")
     )
     near = verified(cut(candidates(classes)), rows, classes.select("alan", "sinif", "evrak_id"))
     same = classes.where("egitim and sinama").select("alan", F.col("sinif").alias("a"), F.col("sinif").alias("b"), F.lit(1.0).alias("benzerlik"), F.lit(1.0).alias("sirali"))

@@ -225,16 +225,23 @@ def continuous(text: str) -> str:
     """The text without page numbers and running lines, divided words joined; for comparisons."""
     if "\n" not in text:
         return text
-    found = layout(text) if ("\f" in text or _MAY_BE_PAGED.search(text) or text.count("\n") > 24) else None
-    lines = [text[a:b] for a, b in (body_lines(text, found) if found else [(0, 0)])] if found else text.split("\n")
+    paged = "\f" in text or text.count("\n") > 24 or _MAY_BE_PAGED.search(text)
+    if not paged and not _DIVIDED.search(text):
+        return text
+    lines = [text[a:b] for a, b in body_lines(text, layout(text))] if paged else text.split("\n")
     out: list[str] = []
+    last = -1
     for line in lines:
-        k = next((k for k in range(len(out) - 1, -1, -1) if out[k].strip()), None)
-        if line.strip() and k is not None and divided(out[k], line):
-            out[k] = _HYPHEN.sub("", out[k]) + line.lstrip()
+        if not line.strip():
+            continue
+        if last >= 0 and out[last].rstrip()[-1:] in _HYPHENS and divided(out[last], line):
+            out[last] = _HYPHEN.sub("", out[last]) + line.lstrip()
         else:
             out.append(line)
+            last = len(out) - 1
     return "\n".join(out)
 
 
+_HYPHENS = tuple("-‐‑¬­")
+_DIVIDED = re.compile(r"[-‐‑¬­][ \t]*\n")
 _MAY_BE_PAGED = re.compile(rf"^[ \t]*(?:[^\W\d_]{{1,5}}\s*[.:]?\s*)?[\[({{|–—~_=.*-]*\s*{_N}\s*(?:/\s*{_N}\s*)?[\])}}|–—~_=.*-]*[ \t]*$", re.M)
