@@ -28,6 +28,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(c: Column | str, function) -> Column:
+    """function of a value that is evaluated once, however often the function refers to it."""
+    return F.element_at(F.transform(F.array(_col(c)), lambda x: function(x)), 1)
+
+
 def tr_lower(c: Column | str) -> Column:
     """Turkish lower case: dotted and dotless i keep their kind."""
     return F.lower(F.translate(_col(c), "İIÇÖÜŞĞ", "iıçöüşğ"))
@@ -103,8 +108,7 @@ def language_signals(c: Column | str) -> Column:
 
 def is_turkish(c: Column | str) -> Column:
     """Whether a text looks Turkish; texts too short to tell do."""
-    s = language_signals(c)
-    return (s["harf_sayisi"] < LEAST_LETTERS) | (s["turkce_karakter_orani"] >= SPECIAL_SHARE) | (s["durak_kelime_orani"] >= STOP_SHARE)
+    return bound(language_signals(c), lambda s: (s["harf_sayisi"] < LEAST_LETTERS) | (s["turkce_karakter_orani"] >= SPECIAL_SHARE) | (s["durak_kelime_orani"] >= STOP_SHARE))
 
 
 def readable(c: Column | str) -> Column:

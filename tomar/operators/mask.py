@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tomar.functions.text import bound
+
 from . import extract
 
 #: Patterns of the audit, kept apart from those of the masks.
@@ -80,7 +82,7 @@ def names(c: Column | str, known: Column) -> Column:
 def masked(c: Column | str, known_names: Column | None = None) -> Column:
     """All masks in order."""
     for mask in (ibans, national_numbers, phones, plates, birth_dates, emails):
-        c = mask(c)
+        c = bound(c, mask)
     return names(c, known_names) if known_names is not None else c
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tomar.functions.text import tokens, tr_lower
 
+from tomar.session import cut
+
 from .components import connected_components
 
 LEAST_JACCARD, LEAST_COVER, LEAST_NUMBER = 0.5, 0.6, 5
@@ -74,7 +76,7 @@ def edges(documents: DataFrame) -> DataFrame:
 
 def chains(documents: DataFrame) -> DataFrame:
     """(id, chain, kind): the chain of each linked document, named after its smallest id, with its strongest kind."""
-    found = edges(documents)
+    found = cut(edges(documents))
     member = connected_components(found)
     kinds = found.join(member, found["src"] == member["node"]).groupBy("component").agg(F.min("kind").alias("kind"))
     return member.join(kinds, "component").select(F.col("node").alias("id"), F.col("component").alias("chain"), "kind")

@@ -22,7 +22,7 @@ def _plain(c: Column) -> Column:
 
 def scored_sentences(documents: DataFrame) -> DataFrame:
     """(id, pos, n, sentence, score) of documents(id, text, subject)."""
-    split = documents.select("id", F.coalesce("subject", F.lit("")).alias("subject"), F.posexplode(sentences("text")).alias("pos", "sentence"))
+    split = documents.select("id", _plain(F.coalesce("subject", F.lit(""))).alias("subject"), F.posexplode(sentences("text")).alias("pos", "sentence"))
     whole = split.where(F.col("sentence").rlike(r"^[\p{Lu}0-9\"“(]") & ~F.col("sentence").rlike(r"[:;]\s*$"))
     own = Window.partitionBy("id")
     placed = whole.withColumn("i", F.row_number().over(own.orderBy("pos"))).withColumn("n", F.count("*").over(own)).withColumn("t", _plain(F.col("sentence")))
@@ -32,7 +32,7 @@ def scored_sentences(documents: DataFrame) -> DataFrame:
     place = F.when(F.col("i") == 1, 1.0).when(F.col("i") == 2, 0.85).otherwise(0.6)
     place = F.when(F.col("i") == F.col("n"), F.greatest(place, F.lit(0.75))).otherwise(place)
     overlap = F.size(F.filter("t", lambda w: F.array_contains("keys", w))) / (F.size("t") + 1)
-    about = F.least(F.size(F.filter("t", lambda w: F.array_contains(_plain(F.col("subject")), w))), F.lit(2)) * 0.35
+    about = F.least(F.size(F.filter("t", lambda w: F.array_contains("subject", w))), F.lit(2)) * 0.35
     told = F.least(F.size(facts("sentence")), F.lit(3)) * 0.4
     length = F.when(F.size(words("sentence")).between(6, 40), 1.0).otherwise(0.6)
     return joined.select("id", "pos", "n", "sentence", ((place + 2.0 * overlap + about + told) * length).alias("score"))

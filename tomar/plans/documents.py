@@ -15,7 +15,7 @@ from tomar.operators import naive_bayes as N
 from tomar.operators import relations as R
 from tomar.operators import summary as S
 from tomar.operators.components import connected_components
-from tomar.session import table
+from tomar.session import spread, table
 from tomar.sources import readers, writers
 from tomar.streaming import streams
 
@@ -31,7 +31,7 @@ RULES = {
 
 
 def _texts(spark, sf):
-    return table(spark, sf, "agent_state").where("raw_text is not null").select("evrak_id", F.col("raw_text").alias("text"))
+    return spread(table(spark, sf, "agent_state").where("raw_text is not null").select("evrak_id", F.col("raw_text").alias("text")))
 
 
 # ---------------------------------------------------------------- fields
@@ -100,7 +100,7 @@ def audit_raw(spark, sf):
 
 
 def summaries(spark, sf):
-    own = table(spark, sf, "agent_state").where("raw_text is not null").select(F.col("evrak_id").alias("id"), F.col("raw_text").alias("text"), F.col("extracted_info.konu").alias("subject"))
+    own = spread(table(spark, sf, "agent_state").where("raw_text is not null").select(F.col("evrak_id").alias("id"), F.col("raw_text").alias("text"), F.col("extracted_info.konu").alias("subject")))
     return S.summaries(own).select(F.col("id").alias("evrak_id"), "summary")
 
 

@@ -17,7 +17,7 @@ from tomar.operators import extract as X
 from tomar.operators import mask as K
 from tomar.operators import retrieval as R
 from tomar.operators import summary as S
-from tomar.session import table
+from tomar.session import spread, table
 
 Stage = Callable[[DataFrame], DataFrame]
 MOST_CHARACTERS = 200_000
@@ -97,7 +97,7 @@ def document_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .documents import RULES
 
     laws = table(spark, sf_dir, "mevzuat_parcalari").select(F.col("chunk_id").alias("id"), "doc_id", F.concat_ws(" ", "title", "section", "body").alias("text"))
-    documents = table(spark, sf_dir, "agent_state").select(F.col("evrak_id").alias("id"), F.col("input_file").alias("source"), F.coalesce("raw_text", "ocr_result.metin").alias("text"))
+    documents = spread(table(spark, sf_dir, "agent_state").select(F.col("evrak_id").alias("id"), F.col("input_file").alias("source"), F.coalesce("raw_text", "ocr_result.metin").alias("text")))
     return pipeline([capped, gated, classified(RULES), extracted, cited(laws), summarised, anonymised, registered])(documents)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomar.operators import retrieval as R
-from tomar.session import table
+from tomar.session import spread, table
 
 from .sql import tok
 
@@ -16,7 +16,7 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), "text").where("text is not null")
+    return spread(table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), "text").where("text is not null"))
 
 
 def _scored(spark: SparkSession, sf: str):

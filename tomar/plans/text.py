@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from tomar.functions import sequential as Q
 from tomar.functions import text as T
-from tomar.session import table
+from tomar.session import spread, table
 
 from .sql import TELLING, count_words, facts, low, tok
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 def _reg(spark, sf):

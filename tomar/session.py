@@ -49,3 +49,12 @@ def cut(df: DataFrame) -> DataFrame:
 def checked_broadcast(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """df with a broadcast hint if it has few rows, else as it is, for a join by shuffle. df should be cheap to count."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan over at least as many partitions as there are cores, for tables that come in few small files.
+
+    Only for a scan with filters and columns chosen, whose partitions are known without running anything.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
