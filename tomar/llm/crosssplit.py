@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomar.session import checked_broadcast, cut, table
+from tomar.session import checked_broadcast, cut, spread, table
 
 from .folding import fold, words
 from .ocrnoise import skeleton
@@ -108,8 +108,8 @@ def hash_of(word: str) -> int:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(alan, evrak_id, kume, kaynak, metin) of both fields."""
-    state = table(spark, sf_dir, "agent_state")
-    labels = table(spark, sf_dir, "etiketler")
+    state = spread(table(spark, sf_dir, "agent_state").select("evrak_id", "kume", "raw_text"))
+    labels = spread(table(spark, sf_dir, "etiketler").select("evrak_id", "kume", "aciklama"))
     texts = state.select(F.lit("raw_text").alias("alan"), "evrak_id", "kume", F.col("raw_text").alias("metin"))
     notes = labels.select(F.lit("aciklama").alias("alan"), "evrak_id", "kume", F.col("aciklama").alias("metin"))
     return texts.unionByName(notes).where(F.col("kume").isin(TRAINING, *EVALUATION) & F.col("metin").isNotNull())

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomar.session import table
+from tomar.session import spread, table
 
 from .folding import squeezed
 from .rows import flat_map
@@ -228,7 +228,7 @@ def _offsets(document: list[str], item: list[str], diagonal: int) -> list[int]:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leaked items of each document."""
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_maddeleri"))
+    return leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "test_maddeleri"))
 
 
 def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:

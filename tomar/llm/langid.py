@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tomar.session import table
+from tomar.session import spread, table
 
 from .rows import flat_map
 
@@ -298,7 +298,7 @@ def languages(found: DataFrame) -> DataFrame:
 
 def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stretch of each document with its language and confidence."""
-    return segments(table(spark, sf_dir, "documents"))
+    return segments(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
 
 
 def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,7 +308,7 @@ def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The languages of documents without a label, with a wrong one, or with several languages."""
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     held = languages(segments(documents)).groupBy("doc_id").agg(F.collect_set("dil").alias("diller"))
     known = label(F.col("lang"))
     wrong = missing(F.col("lang")) | (F.size("diller") > 1) | known.isNull() | ~F.array_contains("diller", F.coalesce(known, F.lit("")))

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomar.session import table
+from tomar.session import spread, table
 
 from .rows import flat_map
 
@@ -182,7 +182,7 @@ def canonical(texts: DataFrame, key: str, column: str) -> DataFrame:
 
 def p6_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every raw_text in its consistent form, with the kinds of characters that were replaced."""
-    return canonical(table(spark, sf_dir, "agent_state"), "evrak_id", "raw_text").where("metin is not null")
+    return canonical(spread(table(spark, sf_dir, "agent_state").select("evrak_id", "raw_text")), "evrak_id", "raw_text").where("metin is not null")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomar.session import cut, table
+from tomar.session import cut, spread, table
 
 from .rows import flat_map
 from .scan import body_lines, divided, layout
@@ -339,6 +339,7 @@ def _right_form():
 def scanned_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(the texts that were scanned, the others) as (evrak_id, alan, metin)."""
     state = table(spark, sf_dir, "agent_state").select("evrak_id", "raw_text", F.col("ocr_result.metin").alias("metin"), F.col("ocr_result.engine_used").alias("motor"))
+    state = spread(state)
     scanned = F.coalesce(F.col("motor") != "direct", F.lit(False))
     fields = F.explode(F.array(F.struct(F.lit("raw_text").alias("alan"), F.col("raw_text").alias("metin")), F.struct(F.lit("ocr_result").alias("alan"), F.col("metin").alias("metin")))).alias("x")
     return (

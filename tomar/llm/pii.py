@@ -28,7 +28,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomar.session import cut, table
+from tomar.session import cut, spread, table
 
 from .folding import fold
 from .lookalike import IMITATORS, INVISIBLE, SPACES
@@ -353,7 +353,8 @@ def masked(text: str, found: list[tuple[int, int, str]], key: str = KEY) -> str:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tablo, kayit_id, alan, metin) of the three fields."""
-    state, register = table(spark, sf_dir, "agent_state"), table(spark, sf_dir, "islemler")
+    state = spread(table(spark, sf_dir, "agent_state").select("evrak_id", "raw_text"))
+    register = spread(table(spark, sf_dir, "islemler").select("id", "metin_ozu", "ozet_ilk_200"))
     one = lambda df, name, key, field: df.select(F.lit(name).alias("tablo"), F.col(key).alias("kayit_id"), F.lit(field).alias("alan"), F.col(field).alias("metin"))
     return one(state, "agent_state", "evrak_id", "raw_text").unionByName(one(register, "islemler", "id", "metin_ozu")).unionByName(one(register, "islemler", "id", "ozet_ilk_200")).where("metin <> ''")
 
