@@ -100,6 +100,17 @@ def test_doubtful_names_need_a_sure_one(spark):
     assert pii.confirmed(pii.detected(frame.limit(0))).count() == 0
 
 
+def test_given_names_are_learned_from_the_corpus(spark):
+    assert {v for _, _, k, v, _ in pii.items("Necati Sarpınçekiç ile Neco Sarpınçekiç geldi.") if k == "ad_soyad"} == {"sarpincekic"}
+    persons = spark.createDataFrame([("Ayşe Yılmazkaya",), ("Tuğrul Yılmazkaya",), ("Adı Soyadı",), ("Yılmazkaya, Ökkeş",), (None,)], "ad string")
+    texts = ["Bilgi için: Kezban Yılmazkaya (dahili 4).", "Tuğrul Osman Hiçyoktan ile Sarpdere, Ökkeş ve KEZBAN YILMAZKAYA geldi. Fen İşleri Yılmazkaya yolunda."]
+    rows = spark.createDataFrame([("t", i, "f", x) for i, x in enumerate([*texts, "Ayşe Sarpdere geldi."])], "tablo string, kayit_id long, alan string, metin string")
+    more = pii.learned(persons, rows)
+    assert more == {"tugrul", "okkes", "kezban"} and pii.learned(persons.limit(0), rows.limit(0)) == frozenset()
+    got = {r.deger for r in pii.confirmed(pii.detected(rows, more)).collect()}
+    assert got == {"Kezban Yılmazkaya", "Tuğrul Osman Hiçyoktan", "Sarpdere, Ökkeş", "KEZBAN YILMAZKAYA", "Ayşe Sarpdere"}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(2, 12), st.data())
 def test_feistel_is_a_permutation_with_an_inverse(digits, data):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from .folding import fold
 
@@ -12,11 +13,11 @@ Abdullah Adem Adnan Ahmet Ali Alper Arda Arif Arzu Asiye Aslı Ayhan Ayla Aylin
 Büşra Cafer Can Canan Celal Cemal Cemil Cengiz Ceren Cevdet Çağla Çetin Çiğdem Cihan Damla Deniz Derya Dilek Durmuş Dursun Ebru Ece Elif Emel Emin Emine Emrah Emre Enver Ercan Erdal Erdem Erdoğan Eren Erhan Erkan
 Erol Esin Esra Eyüp Faruk Fatih Fatma Ferhat Feride Fevzi Figen Fikret Filiz Funda Gamze Gizem Gökhan Gönül Gül Gülay Gülcan Gülsüm Güler Hacer Hakan Haldun Halil Halime Hamza Harun Hasan Hatice Havva
 Hayriye Hülya Hüseyin İbrahim İlhan İlknur İsmail İsmet Kadir Kadriye Kamil Kemal Kenan Kerem Kübra Leyla Levent Mahmut Mehmet Melahat Melek Meral Merve Meryem Metin Mine Muhammet Murat Musa Mustafa Muzaffer Naci
-Nazlı Nazmiye Necla Neriman Nermin Nesrin Nevin Nihat Nilgün Nuray Nurgül Nuri Nurten Onur Orhan Osman Ömer Özge Özgür Özlem Perihan Pınar Ramazan Recep Rıza Rukiye Saadet Salih Sami Sedat Selçuk Selim Selma Semra Serap Serdar
+Nazlı Nazmiye Necati Necla Neriman Nermin Nesrin Nevin Nihat Nilgün Nuray Nurgül Nuri Nurten Onur Orhan Osman Ömer Özge Özgür Özlem Perihan Pınar Ramazan Recep Rıza Rukiye Saadet Salih Sami Sedat Selçuk Selim Selma Semra Serap Serdar
 Serkan Sevda Sevgi Sevim Sibel Sinan Songül Süleyman Şaban Şenol Şerife Şükrü Tahsin Tamer Tuncay Tülay Turgut Uğur Ümit Vedat Veli Volkan Yaşar Yavuz Yıldız Yusuf Zafer Zehra Zekeriya Zeliha Zeynep Ziya
 """.split()
 #: Pet forms of given names that no short rule gives.
-PETS = "Emoş Fatoş Hatçe İbo Mıstık Memo Zeyno Muro Fero Taho Meri Sülo Ramo Şero Ayşoş Gülo Haso Kemo Meyro Apo".split()
+PETS = "Emoş Fatoş Hatçe İbo Mıstık Memo Zeyno Muro Fero Taho Meri Sülo Ramo Şero Ayşoş Gülo Haso Kemo Meyro Apo Neco Osi Hüso Peri".split()
 #: Folded stems of things that are named after persons, and of places.
 THINGS = """park cadde cad cd sokak sokag sok sk bulvar blv mahalle mah mh meydan ilkokul ortaokul anaokul okul lise universite fakulte enstitu yuksekokul kultur sanat merkez cami mescit hastane poliklinik kutuphane stad spor
 kopru yurd yurt vakf vakif dernek salon tesis site apartman apt blok koy mezarlik carsi anit muze tiyatro kres havaliman istasyon durag durak baraj orman koru bahce cesme hamam otel ilkogretim anadolu fen meslek egitim
@@ -45,11 +46,20 @@ def _deletes(word: str) -> set[str]:
 
 _FOLDED = frozenset(fold(n) for n in GIVEN)
 _PETS = frozenset(fold(n) for n in PETS)
-_NEAR: dict[str, set[str]] = {}
-for _n in _FOLDED:
-    if len(_n) >= 4:
-        for _d in {_n} | _deletes(_n):
-            _NEAR.setdefault(_d, set()).add(_n)
+
+
+@lru_cache(8)
+def _near(words: frozenset[str]) -> dict[str, set[str]]:
+    """The words of four letters or more by themselves and their deletions."""
+    out: dict[str, set[str]] = {}
+    for n in words:
+        if len(n) >= 4:
+            for d in {n} | _deletes(n):
+                out.setdefault(d, set()).add(n)
+    return out
+
+
+_NEAR = _near(_FOLDED)
 
 
 def one_slip(a: str, b: str) -> bool:
@@ -63,15 +73,17 @@ def one_slip(a: str, b: str) -> bool:
     return long[i + 1 :] == short[i:]
 
 
-def given(word: str) -> int:
-    """2 for a given name, 1 for one with a slip, 0 for other words; word is folded."""
-    if word in _FOLDED or word in _PETS:
+def given(word: str, more: frozenset[str] = frozenset()) -> int:
+    """2 for a given name, 1 for one with a slip, 0 for other words; word is folded, more has given names beyond the lists."""
+    if word in _FOLDED or word in _PETS or word in more:
         return 2
     if len(word) < 3 or word in NO_SURNAME:
         return 0
     near = set()
     for d in {word} | _deletes(word):
         near |= _NEAR.get(d, set())
+        if more:
+            near |= _near(more).get(d, set())
     return int(any(one_slip(word, n) and (len(n) > 4 or word[0] == n[0]) for n in near))
 
 

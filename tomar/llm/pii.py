@@ -2,7 +2,8 @@
 
 Detection: e-mail addresses, phone numbers, national numbers (check digits) and addresses (grammar of quarter,
 street, door and place) come from patterns over the text in plain characters. Names come from the given names of
-a fixed list, one slip allowed, in any order and case, with middle names and initials. A given name
+a fixed list and those learned from the corpus, one slip allowed, in any order and case, with middle names and initials. Learned is
+what stands with a surname of a listed given name in extracted_info.kisi_adlari or after a label of a text. A given name
 written right before a capitalised surname is sure. Forms with an initial only, with a slip in the given name, in
 capitals, in lower case or in reverse order are doubtful: they count if the surname occurs in a sure name anywhere in the corpus, which is
 decided by a join. Things named after persons are left out by the word that follows.
@@ -108,15 +109,15 @@ def national_number(digits: str) -> bool:
 
 # A digit between letters is a misread letter of a scan.
 _TOKEN = re.compile(r"[^\W\d_]+(?:[0-9!|]{1,2}[^\W\d_]+)*")
-_cache: dict[str, tuple[str, str, int, bool]] = {}
+_caches: dict[frozenset[str], dict[str, tuple[str, str, int, bool]]] = {}
 
 
-def _word(word: str) -> tuple[str, str, int, bool]:
+def _word(word: str, more: frozenset[str], cache: dict) -> tuple[str, str, int, bool]:
     """(case, folded form, given name, surname may be) of a word."""
-    known = _cache.get(word)
+    known = cache.get(word)
     if known is None:
-        if len(_cache) > 300_000:
-            _cache.clear()
+        if len(cache) > 300_000:
+            cache.clear()
         folded = fold(word)
         if len(word) == 1:
             case = "I" if word.isupper() else "l"
@@ -126,13 +127,14 @@ def _word(word: str) -> tuple[str, str, int, bool]:
             case = "T"
         else:
             case = "l"
-        known = _cache[word] = (case, folded, given(folded), len(folded) > 2 and folded not in NO_SURNAME and not thing(folded))
+        known = cache[word] = (case, folded, given(folded, more), len(folded) > 2 and folded not in NO_SURNAME and not thing(folded))
     return known
 
 
-def names(text: str) -> list[tuple[int, int, str, bool]]:
-    """(start, end, folded surname, sure) of what may be names."""
-    tokens = [(m.start(), m.end(), *_word(m[0])) for m in _TOKEN.finditer(text)]
+def names(text: str, more: frozenset[str] = frozenset()) -> list[tuple[int, int, str, bool]]:
+    """(start, end, folded surname, sure) of what may be names; more has given names beyond the lists."""
+    cache = _caches.setdefault(more, {})
+    tokens = [(m.start(), m.end(), *_word(m[0], more, cache)) for m in _TOKEN.finditer(text)]
     out: list[tuple[int, int, str, bool]] = []
     n, i = len(tokens), 0
 
@@ -213,7 +215,7 @@ def names(text: str) -> list[tuple[int, int, str, bool]]:
 _TITLE_PLACE = re.compile(r"[\s,/]+$")
 
 
-def items(text: str) -> list[tuple[int, int, str, str, bool]]:
+def items(text: str, more: frozenset[str] = frozenset()) -> list[tuple[int, int, str, str, bool]]:
     """(start, end, tur, folded surname, sure) of the personal items of a text, in places of the text."""
     plain, place = aligned(text)
     taken: list[tuple[int, int, str, str, bool]] = []
@@ -254,7 +256,7 @@ def items(text: str) -> list[tuple[int, int, str, str, bool]]:
             if free(a, b):
                 taken.append((a, b, "adres", "", True))
     numbers = [x for x in taken]
-    spans = [(a, b, s, sure) for a, b, s, sure in names(plain) if all(b <= x or a >= y for x, y, *_ in numbers)]
+    spans = [(a, b, s, sure) for a, b, s, sure in names(plain, more) if all(b <= x or a >= y for x, y, *_ in numbers)]
     taken += [(a, b, "ad_soyad", s, sure) for a, b, s, sure in spans]
     out = []
     for a, b, kind, s, sure in taken:
@@ -362,14 +364,54 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ITEMS = "tablo string, kayit_id bigint, alan string, tur string, deger string, soyad string, kesin boolean"
 
 
-def detected(rows: DataFrame) -> DataFrame:
+#: Labels that a person's name follows, and the two words after one.
+_LABELLED = r"(?:[Bb]ilgi için\s*:|BİLGİ İÇİN\s*:|[Aa]dı [Ss]oyadı\s*:|ADI SOYADI\s*:|[Tt]eslim alan|[Bb]aşvuru sahibi|[Tt]anık olarak dinlenen|[Ss]ayın|Dr\.)\s+(\p{Lu}\p{L}{2,},?[ \t]+\p{Lu}\p{L}{2,})"
+
+
+def learned(persons: DataFrame, rows: DataFrame) -> frozenset[str]:
+    """The folded given names beyond the lists that persons(ad) and the labels in rows(metin) hold.
+
+    A word of a name without a listed given name is one if its partner is the surname of a listed given name. Given names are a
+    closed class, whose size follows the language and not the rows: only they come to the driver.
+    """
+    labelled = rows.select(F.explode(F.regexp_extract_all("metin", F.lit(_LABELLED), F.lit(1))).alias("ad"))
+    own = persons.select("ad").unionByName(labelled).where("ad is not null").distinct()
+
+    def make():
+        def run(batch):
+            for r in batch:
+                words = [_word(m[0], frozenset(), _caches.setdefault(frozenset(), {})) for m in _TOKEN.finditer(aligned(r["ad"])[0])]
+                full = [(f, g) for _, f, g, able in words if f not in ADDRESS and (able or g == 2 and len(f) > 2)]
+                if len(full) < 2:
+                    continue
+                (first, g), (last, h) = full[0], full[-1]
+                if (g == 2) != (h == 2):
+                    yield None, last if g == 2 else first
+                elif not g and not h:
+                    yield first, last
+                    yield last, first
+
+        return run
+
+    pairs = flat_map(own, make, "ad string, soyad string").distinct()
+    sure = pairs.where("ad is null").select("soyad").distinct()
+    known = pairs.where("ad is not null").join(sure, "soyad", "left_semi").join(sure.select(F.col("soyad").alias("ad")), "ad", "left_anti")
+    return frozenset(r.ad for r in known.select("ad").distinct().collect())
+
+
+def given_names(spark: SparkSession, sf_dir: str, rows: DataFrame) -> frozenset[str]:
+    """The given names learned from the names and texts of the corpus."""
+    return learned(table(spark, sf_dir, "agent_state").select(F.explode("extracted_info.kisi_adlari").alias("ad")), rows)
+
+
+def detected(rows: DataFrame, more: frozenset[str] = frozenset()) -> DataFrame:
     """Every item of rows(tablo, kayit_id, alan, metin), doubtful names included."""
 
     def make():
         def run(batch):
             for r in batch:
                 text = r["metin"]
-                for a, b, kind, surname, sure in items(text):
+                for a, b, kind, surname, sure in items(text, more):
                     yield r["tablo"], r["kayit_id"], r["alan"], kind, value(text[a:b]), surname, sure
 
         return run
@@ -388,20 +430,22 @@ def confirmed(found: DataFrame) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each personal item."""
-    return confirmed(detected(texts(spark, sf_dir)))
+    rows = texts(spark, sf_dir)
+    return confirmed(detected(rows, given_names(spark, sf_dir, rows)))
 
 
 def p2_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with typed placeholders, and how many of each type."""
     rows = texts(spark, sf_dir)
-    known = confirmed(detected(rows)).groupBy("tablo", "kayit_id", "alan").agg(F.collect_set(F.concat("tur", F.lit("\x1f"), "deger")).alias("ogeler"))
+    more = given_names(spark, sf_dir, rows)
+    known = confirmed(detected(rows, more)).groupBy("tablo", "kayit_id", "alan").agg(F.collect_set(F.concat("tur", F.lit("\x1f"), "deger")).alias("ogeler"))
     both = rows.dropDuplicates(["tablo", "kayit_id", "alan", "metin"]).join(known, ["tablo", "kayit_id", "alan"], "left")
 
     def make():
         def run(batch):
             for r in batch:
                 text, wanted = r["metin"], set(r["ogeler"] or ())
-                found = settled([x for x in items(text) if f"{x[2]}\x1f{value(text[x[0]:x[1]])}" in wanted]) if wanted else []
+                found = settled([x for x in items(text, more) if f"{x[2]}\x1f{value(text[x[0]:x[1]])}" in wanted]) if wanted else []
                 own = [(a, b, kind) for a, b, kind, *_ in found]
                 births = [(*m.span(1), "dogum_tarihi") for m in _BIRTH.finditer(text)]
                 yield r["tablo"], r["kayit_id"], r["alan"], masked(text, own + births), len(own) + len(births)
