@@ -155,3 +155,16 @@ def test_rules_and_nearest(spark):
     q = spark.createDataFrame([("acbd",), ("zzzz",)], "q string")
     c = spark.createDataFrame([("abcd",), ("xyzt",)], "c string")
     assert [(r.q, r.candidate, r.similarity) for r in C.nearest(q, c).collect()] == [("acbd", "abcd", 0.75)]
+
+
+def test_nearest_units_compares_all_spellings_whatever_their_counts(spark, tmp_path):
+    from tomar.functions.sequential import osa_similarity
+    from tomar.plans.documents import QUERIES
+
+    counts = {"Fen İşleri": 40, "Fen İşler": 15, "Fen İşlri": 12, "Yazı İşleri": 1, "Park": 30, "": 5}
+    spark.createDataFrame([(u,) for u, n in counts.items() for _ in range(n)], "birim string").write.parquet(f"{tmp_path}/islemler.parquet")
+    got = {(r.q, r.candidate, r.similarity) for r in QUERIES["nearest_units"](spark, str(tmp_path)).collect()}
+    units = [u for u in counts if u]
+    pairs = spark.createDataFrame([(q, c) for q in units for c in units if q != c], "q string, c string").select("q", "c", osa_similarity("q", "c").alias("s")).where("s >= 0.75").collect()
+    best = {q: min((-r.s, r.c) for r in pairs if r.q == q) for q in {r.q for r in pairs}}
+    assert got == {(q, c, round(-s, 6)) for q, (s, c) in best.items()} and len(got) >= 3

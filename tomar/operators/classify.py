@@ -64,12 +64,12 @@ def gate(confidence: Column | str, threshold: float = 0.6) -> Column:
     return F.coalesce(c < threshold, F.lit(True))
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, threshold: float = 0.75, similarity=None) -> DataFrame:
+def nearest(queries: DataFrame, candidates: DataFrame, threshold: float = 0.75, similarity=None, others: bool = False) -> DataFrame:
     """(q, candidate, similarity): the most similar of candidates(c) to each of queries(q) above a threshold, the first where tied.
 
     Candidates are compared where they share two neighbouring letters, the first or the last letter with the query, which
     any pair of a similarity of 0.75 or more does (one edit leaves one end, and more edits mean longer words); the equality join takes
-    the place of a cross join. Lower thresholds are refused.
+    the place of a cross join. Lower thresholds are refused. With others, a query isn't its own candidate.
     """
     from tomar.functions.sequential import osa_similarity
 
@@ -82,5 +82,5 @@ def nearest(queries: DataFrame, candidates: DataFrame, threshold: float = 0.75,
 
     a = queries.select("q").distinct().select("q", F.explode(pairs_of("q")).alias("g"))
     b = candidates.select("c").distinct().select("c", F.explode(pairs_of("c")).alias("g"))
-    both = a.join(b, "g").select("q", "c").distinct().withColumn("s", (similarity or osa_similarity)("q", "c")).where(F.col("s") >= threshold)
+    both = a.join(b, "g").where("q <> c" if others else "true").select("q", "c").distinct().withColumn("s", (similarity or osa_similarity)("q", "c")).where(F.col("s") >= threshold)
     return both.groupBy("q").agg(F.min_by(F.struct("c", "s"), F.struct((-F.col("s")).alias("s"), "c")).alias("x")).select("q", F.col("x.c").alias("candidate"), F.col("x.s").alias("similarity"))

@@ -144,8 +144,10 @@ def nb_predict(spark, sf):
 
 
 def nearest_units(spark, sf):
-    units = table(spark, sf, "islemler").where("birim <> ''").groupBy("birim").agg(F.count("*").alias("n"))
-    return C.nearest(units.where("n < 10").select(F.col("birim").alias("q")), units.where("n >= 30").select(F.col("birim").alias("c")), 0.75).select("q", "candidate", F.round("similarity", 6).alias("similarity"))
+    """The most similar other spelling of each unit spelling."""
+    units = table(spark, sf, "islemler").where("birim <> ''").select("birim").distinct()
+    near = C.nearest(units.select(F.col("birim").alias("q")), units.select(F.col("birim").alias("c")), 0.75, others=True)
+    return near.select("q", "candidate", F.round("similarity", 6).alias("similarity"))
 
 
 def metamorphic_invariance(spark, sf):
