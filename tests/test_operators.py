@@ -168,3 +168,37 @@ def test_nearest_units_compares_all_spellings_whatever_their_counts(spark, tmp_p
     pairs = spark.createDataFrame([(q, c) for q in units for c in units if q != c], "q string, c string").select("q", "c", osa_similarity("q", "c").alias("s")).where("s >= 0.75").collect()
     best = {q: min((-r.s, r.c) for r in pairs if r.q == q) for q in {r.q for r in pairs}}
     assert got == {(q, c, round(-s, 6)) for q, (s, c) in best.items()} and len(got) >= 3
+
+
+def test_naive_bayes_over_all_documents_against_brute_force(spark, tmp_path):
+    from collections import Counter
+
+    from tomar.functions.text import features
+    from tomar.plans.documents import QUERIES
+
+    rows = [(1, "dilekçe arz ederim", "d", "tr"), (2, "dilekçe başvuru", "d", None), (3, "rapor inceleme", "r", "az"), (4, "inceleme arz", "r", "Türkçe"), (5, "başvuru arz", None, "tr"), (6, None, "d", "tr"), (7, "", "r", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, evrak_turu string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet").where("text <> ''").select("doc_id", features(F.col("text")).alias("f"))
+    tf = {r.doc_id: Counter(r.f) for r in table.collect()}
+    labels = {i: c for i, t, c, _ in rows if t and c}
+    df = Counter(f for i in labels for f in tf[i])
+    idf = {f: math.log((len(labels) + 1) / (n + 1)) + 1 for f, n in df.items()}
+    weigh = lambda i: {f: (1 + math.log(n)) * idf[f] for f, n in tf.get(i, {}).items() if f in idf}
+    model = {}
+    for c in ("d", "r"):
+        w = Counter()
+        for i in labels:
+            if labels[i] == c:
+                w.update(weigh(i))
+        below = sum(w.values()) + len(idf)
+        model[c] = (math.log(sum(x == c for x in labels.values()) / len(labels)), math.log(1 / below), lambda f, w=w, b=below: math.log((w[f] + 1) / b))
+    want = {}
+    for i, *_ in rows:
+        own = weigh(i)
+        score = {c: p + (N.EVIDENCE * sum(x * ll(f) for f, x in own.items()) / sum(own.values()) if own else 0) for c, (p, _, ll) in model.items()}
+        below = sum(math.exp(x) for x in score.values())
+        want |= {(i, c): math.exp(x) / below for c, x in score.items()}
+    got = {(r.id, r["class"]): r.probability for r in QUERIES["nb_predict_all"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+    prior = {r["class"]: (r.log_prior, r.unseen) for r in QUERIES["nb_prior_all"](spark, str(tmp_path)).collect()}
+    assert prior == {c: pytest.approx((p, u), abs=1e-6) for c, (p, u, _) in model.items()}

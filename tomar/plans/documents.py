@@ -143,6 +143,22 @@ def nb_predict(spark, sf):
     return found
 
 
+def _all_labelled(spark, sf):
+    types = spread(table(spark, sf, "documents").where("evrak_turu is not null and text <> ''"))
+    return types.select(F.col("doc_id").alias("id"), "text", F.col("evrak_turu").alias("label"))
+
+
+def nb_prior_all(spark, sf):
+    """As nb_prior, of all labelled documents."""
+    return N.train(_all_labelled(spark, sf)).prior.select("class", F.round("log_prior", 6).alias("log_prior"), F.round("unseen", 6).alias("unseen"))
+
+
+def nb_predict_all(spark, sf):
+    """As nb_predict, trained on all labelled documents and for every document."""
+    every = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return N.predict(N.train(_all_labelled(spark, sf)), every).select("id", "class", F.round("probability", 5).alias("probability"))
+
+
 def nearest_units(spark, sf):
     """The most similar other spelling of each unit spelling."""
     units = table(spark, sf, "islemler").where("birim <> ''").select("birim").distinct()
@@ -258,7 +274,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         field_emails, field_numbers, field_ibans, field_amounts, field_dates, field_subjects, field_struct, field_lines, national_number_check, email_mask, pii_counts, leak_audit, audit_raw, summaries, rule_scores, rule_decisions,
-        damped_scores, first_match_rule, nb_prior, nb_predict, nearest_units, metamorphic_invariance, reference_edges, subject_edges, relation_chains, unlinked_documents, order_components, label_file_rows, corpus_overview,
+        damped_scores, first_match_rule, nb_prior, nb_predict, nb_prior_all, nb_predict_all, nearest_units, metamorphic_invariance, reference_edges, subject_edges, relation_chains, unlinked_documents, order_components, label_file_rows, corpus_overview,
         scan_quality, run_seal, metadata_records, html_reports, stream_feedback, stream_windows, user_sessions,
     )
 }
