@@ -173,6 +173,21 @@ def test_common_suffixes_lose_no_link(spark):
     assert any({"Kişiab Ortakyamaç", "KİŞİAB ORTAKYAMAÇ", "Ortakyamaç Kişiab"} <= g for g in got)
 
 
+def test_hot_blocks_lose_no_link(spark, monkeypatch):
+    """A surname of more classes than any block was allowed, and the initial within them; in several slices."""
+    monkeypatch.setattr(entities, "SLICE", 30)
+    names = [f"M{'aeiou'[i % 5]}{chr(97 + i // 5)}k{chr(97 + i % 9)}n{chr(98 + i % 4)}r Ortakyamaç" for i in range(100)]
+    want = [("Zeynep Ortakyamaç", "Zyenep Ortakyamaç"), ("Mustafa Ortakyamaç", "Msutaaf Ortakyamaç"), ("Meh Ortakyamaç", "Mehk Ortakyamaç")]
+    frame = spark.createDataFrame([("kisi", n) for n in [*names, "M. Ortakyamaç", *{x for p in want for x in p}]], "alan string, ad string")
+    classes = entities.classes_of(frame)
+    of = {r.ad: r.sinif for r in classes.collect()}
+    pairs = [(r.a, r.b) for r in entities.blocks(classes).collect()]
+    n = len(set(of.values()))
+    assert len(pairs) == len(set(pairs)) == n * (n - 1) // 2 and n > 100
+    linked = {(r.a, r.b) for r in entities.links(classes).where("bag = 'kisa'").collect()}
+    assert all(tuple(sorted((of["M. Ortakyamaç"], of[x]))) in linked for x in names)
+
+
 # ---------------------------------------------------------------- scan noise
 
 

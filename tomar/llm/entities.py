@@ -1,10 +1,9 @@
 """Problem 3: variant spellings of persons, institutions and units.
 
 Method: suffix blocking. Spellings are folded to sets of words; spellings with the same words in any order, case
-or accents form a class. The suffixes of each word from ``SUFFIX`` letters on index the class; a suffix shared by
-more than ``COMMON`` classes is refined with the first letter, then with the first three letters of
-another word of the name, and only what is still too common is left to the longer suffixes and the other words of the same
-names. Pairs that share a block are compared word by word by the longest-common-subsequence ratio, with
+or accents form a class. The suffix of ``SUFFIX`` letters of each word indexes the class (longer shared suffixes hold it), and so
+do the first letters of an institution's words. No block is left out, however many classes share it: large ones are joined in slices of
+``SLICE`` classes. Pairs that share a block are compared word by word by the longest-common-subsequence ratio, with
 rules for abbreviations, acronyms, initials, inflection and pet forms.
 
 Two words count as misspellings of each other only if one of them is rare beside the other: names
@@ -28,7 +27,7 @@ from tomar.session import cut, table
 from .folding import fold
 from .rows import flat_map
 
-SUFFIX, COMMON = 4, 60
+SUFFIX, SLICE = 4, 500
 #: Least ratio of the common subsequence to the longer word, and the letters of a word that may be out of place.
 RATIO, SLIPS = 0.75, 1
 RARE, RARER = 2, 0.25
@@ -269,20 +268,16 @@ def classes_of(names: DataFrame) -> DataFrame:
 
 
 def _keys(field: str, own: list[str]):
-    """(key, key with a first letter, key with three letters) of each block of a class."""
-    full = [w for w in own if len(w) >= SUFFIX]
-    indexed = [(w, i) for i, w in enumerate(own) if w in full or (field != "kisi" and len(w) >= 2)]
-    for w, i in indexed:
-        others = [o for j, o in enumerate(own) if j != i and (o not in OPTIONAL or field == "kisi")] or [""]
-        for n in range(min(SUFFIX, len(w)), len(w) + 1):
-            for o in others:
-                yield w[-n:], f"{w[-n:]}|{o[:1]}", f"{w[-n:]}|{o[:3]}"
+    """The blocks of a class: the endings of its words and its letters as an acronym."""
+    for w in own:
+        if len(w) >= SUFFIX or (field != "kisi" and len(w) >= 2):
+            yield w[-SUFFIX:]
     if field != "kisi":
         letters = "".join(w[0] for w in own if w not in ("ve", "ile"))
         if len(letters) >= 2:
-            yield f"={letters}", f"={letters}|", f"={letters}|"
+            yield f"={letters}"
         if len(own) == 1:
-            yield f"={own[0]}", f"={own[0]}|", f"={own[0]}|"
+            yield f"={own[0]}"
 
 
 def blocks(classes: DataFrame) -> DataFrame:
@@ -292,21 +287,16 @@ def blocks(classes: DataFrame) -> DataFrame:
         def run(rows):
             for r in rows:
                 for k in set(_keys(r["alan"], r["kelime"])):
-                    yield r["alan"], r["sinif"], *k
+                    yield r["alan"], r["sinif"], k
 
         return run
 
-    keyed = flat_map(classes.select("alan", "sinif", "kelime"), make, "alan string, sinif string, k0 string, k1 string, k2 string")
-    out = None
-    for level in ("k0", "k1", "k2"):
-        own = keyed.select("alan", F.col(level).alias("k"), "sinif", *[c for c in ("k1", "k2") if c > level]).distinct()
-        sizes = own.groupBy("alan", "k").agg(F.countDistinct("sinif").alias("n"))
-        fine = own.join(sizes.where(f"n > 1 and n <= {COMMON}").select("alan", "k"), ["alan", "k"]).select("alan", "k", "sinif").distinct()
-        pairs = fine.select("alan", "k", F.col("sinif").alias("a")).join(fine.select("alan", "k", F.col("sinif").alias("b")), ["alan", "k"]).where("a < b").select("alan", "a", "b")
-        out = pairs if out is None else out.unionByName(pairs)
-        if level != "k2":
-            keyed = keyed.join(sizes.where(f"n > {COMMON}").select("alan", F.col("k").alias(level)), ["alan", level], "left_semi")
-    return out.distinct()
+    keyed = flat_map(classes.select("alan", "sinif", "kelime"), make, "alan string, sinif string, k string").distinct()
+    sizes = keyed.groupBy("alan", "k").agg(F.count("*").alias("n")).where("n > 1")
+    own = keyed.join(sizes, ["alan", "k"]).withColumn("dilimler", F.ceil(F.col("n") / SLICE))
+    left = own.select("alan", "k", F.pmod(F.xxhash64("sinif"), "dilimler").alias("dilim"), F.col("sinif").alias("a"))
+    right = own.select("alan", "k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("dilimler") - 1)).alias("dilim"), F.col("sinif").alias("b"))
+    return left.join(right, ["alan", "k", "dilim"]).where("a < b").select("alan", "a", "b").distinct()
 
 
 def links(classes: DataFrame) -> DataFrame:
