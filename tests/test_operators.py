@@ -202,3 +202,19 @@ def test_naive_bayes_over_all_documents_against_brute_force(spark, tmp_path):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
     prior = {r["class"]: (r.log_prior, r.unseen) for r in QUERIES["nb_prior_all"](spark, str(tmp_path)).collect()}
     assert prior == {c: pytest.approx((p, u), abs=1e-6) for c, (p, u, _) in model.items()}
+
+
+def test_order_components_of_all_line_items_against_brute_force(spark, tmp_path):
+    import random
+
+    from tomar.plans.documents import QUERIES
+
+    rng = random.Random(7)
+    items = [(rng.randrange(60), rng.randrange(60), float(rng.randrange(1, 51))) for _ in range(70)]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    group = {}
+    for o, p, _ in items:
+        a, b = group.get(o * 2, {o * 2}), group.get(p * 2 + 1, {p * 2 + 1})
+        group |= dict.fromkeys(a | b, a | b)
+    want = {(min(g), len(g)) for g in group.values()}
+    assert {(r.component, r.n) for r in QUERIES["order_components_all"](spark, str(tmp_path)).collect()} == want and len(want) > 2

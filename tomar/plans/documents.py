@@ -205,6 +205,12 @@ def order_components(spark, sf):
     return connected_components(small).groupBy("component").agg(F.count("*").alias("n"))
 
 
+def order_components_all(spark, sf):
+    """As order_components, of the graph of all line items."""
+    edges = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
+    return connected_components(edges).groupBy("component").agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------- sources and sinks
 
 
@@ -274,7 +280,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         field_emails, field_numbers, field_ibans, field_amounts, field_dates, field_subjects, field_struct, field_lines, national_number_check, email_mask, pii_counts, leak_audit, audit_raw, summaries, rule_scores, rule_decisions,
-        damped_scores, first_match_rule, nb_prior, nb_predict, nb_prior_all, nb_predict_all, nearest_units, metamorphic_invariance, reference_edges, subject_edges, relation_chains, unlinked_documents, order_components, label_file_rows, corpus_overview,
+        damped_scores, first_match_rule, nb_prior, nb_predict, nb_prior_all, nb_predict_all, nearest_units, metamorphic_invariance, reference_edges, subject_edges, relation_chains, unlinked_documents, order_components, order_components_all, label_file_rows, corpus_overview,
         scan_quality, run_seal, metadata_records, html_reports, stream_feedback, stream_windows, user_sessions,
     )
 }
