@@ -77,3 +77,15 @@ def test_arithmetic(text, wanted):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "x string")
     assert none.select(T.tokens("x"), T.facts("x"), T.language_signals("x"), T.cleaned("x"), Q.sentences("x")).collect() == []
+
+
+def test_osa_units_compares_all_spellings(spark, tmp_path):
+    from tomar.plans.text import QUERIES
+
+    common = [f"{chr(97 + i) * 9}" for i in range(20)]
+    rare = ["Fen İşleri", "Fen İşlri", "Fne İşleri", "Fen İşlerii", "nFe İşleir", "Fn İşler", "A", "AB", "BC", "Park"]
+    spark.createDataFrame([(u,) for u in common * 5 + rare], "birim string").write.parquet(f"{tmp_path}/islemler.parquet")
+    spellings = spark.createDataFrame([(a, b) for a in common + rare for b in common + rare if a != b], "a string, b string")
+    want = {(r.a, r.b, r.d) for r in spellings.select("a", "b", Q.osa_distance("a", "b").alias("d")).where("d <= 2").collect()}
+    got = [(r.birim, r.yaygin, r.uzaklik) for r in QUERIES["osa_units"](spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want) > 10

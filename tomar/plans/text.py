@@ -86,9 +86,14 @@ def sentence_counts(spark, sf):
 
 
 def osa_units(spark, sf):
+    """The pairs of unit spellings at distance 1 or 2, both ways: such a pair shares what is left after at most two deletions on either side."""
     units = table(spark, sf, "islemler").where("birim <> ''").select("birim").distinct()
-    codes = table(spark, sf, "islemler").where("birim <> ''").groupBy("birim").count().orderBy(F.desc("count"), "birim").limit(20).select(F.col("birim").alias("yaygin"))
-    return units.join(F.broadcast(codes)).select("birim", "yaygin", Q.osa_distance("birim", "yaygin").alias("uzaklik")).where("uzaklik between 1 and 2")
+    fewer = lambda df: df.where("k <> ''").select("birim", F.explode(F.transform(F.sequence(F.lit(1), F.length("k")), lambda i: F.concat(F.substring("k", F.lit(1), i - 1), F.substring("k", i + 1, F.length("k"))))).alias("k")).distinct()
+    whole = units.select("birim", F.col("birim").alias("k"))
+    one = fewer(whole)
+    keyed = whole.unionByName(one).unionByName(fewer(one)).distinct()
+    pairs = keyed.join(keyed.select(F.col("birim").alias("yaygin"), "k"), "k").where("birim <> yaygin").select("birim", "yaygin").distinct()
+    return pairs.select("birim", "yaygin", Q.osa_distance("birim", "yaygin").alias("uzaklik")).where("uzaklik between 1 and 2")
 
 
 def rouge_scores(spark, sf):
