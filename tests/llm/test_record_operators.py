@@ -232,6 +232,14 @@ def test_repairs(spark):
     assert "işlemini" in text and "- 2 -" not in text and text.count("ÖRNEK KURUMU") == 0
 
 
+@pytest.mark.parametrize("times", [1, 10])
+def test_frequent_words_are_decoded_by_ratio_and_not_by_count(spark, times):
+    clean = (["Kestane mah no beş."] * 20 + ["Yeni mali işler."] * 5) * times
+    good = spark.createDataFrame([(1000 + i, "raw_text", t) for i, t in enumerate(clean)], "evrak_id long, alan string, metin string")
+    bad = spark.createDataFrame([(1, "raw_text", "Kestane mali no beş."), (2, "raw_text", "Yeni mali işler.")], "evrak_id long, alan string, metin string")
+    assert [(r.evrak_id, r.tur, r.deger) for r in ocrnoise.repairs(bad, good).collect()] == [(1, "karakter", "mah")]
+
+
 def test_noise_of_a_table_with_nulls(spark, tmp_path):
     result = "struct<source_file:string,file_type:string,character_count:int,word_count:int,engine_used:string,metin:string>"
     rows = [(1, None, ("a", "b", 1, 1, "tesseract", SCANNED), 0), (2, "düz metin", None, 0), (3, None, None, 0), (4, "", ("a", "b", 1, 1, "direct", None), 0)]

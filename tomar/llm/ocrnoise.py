@@ -7,8 +7,8 @@ words in all texts that were not scanned. Words of one skeleton, in which charac
 alike, are candidates for each other, so candidates come from an equality join; each line is decoded by
 Viterbi over its candidate words: channel times bigram likelihood.
 
-The ``FREQUENT`` most frequent words are held as known and aren't looked up again; that bounded list is all that
-reaches the driver. Words are corrected inside a token; the token keeps its letter case.
+Those of the ``FREQUENT`` most frequent words that have no candidate are held as known and aren't looked up again, which changes no
+result; that bounded list is all that reaches the driver. Words are corrected inside a token; the token keeps its letter case.
 
 Defined cases: null and empty texts give nothing; texts that were not scanned are left as they are; without any
 unscanned text there is no language model, and only words with a digit or sign between letters are changed, to the letters
@@ -30,7 +30,7 @@ from tomar.session import cut, spread, table
 from .rows import flat_map
 from .scan import body_lines, divided, layout
 
-FREQUENT, LEAST_FREQUENT = 20_000, 30
+FREQUENT = 20_000
 #: Weight of an unseen word beside one seen occurrence, of one with a digit or sign inside, and of the single-word model.
 UNSEEN, BROKEN, MIX = 0.02, 0.0002, 2.0
 
@@ -351,7 +351,9 @@ def scanned_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 def repairs(scanned: DataFrame, clean: DataFrame) -> DataFrame:
     """(evrak_id, alan, satir, sira, tur, belirtec, deger): every finding in scanned texts, by the language of clean ones."""
     model = cut(language(clean))
-    known = frozenset(r.a for r in model.where(f"b is null and n >= {LEAST_FREQUENT}").orderBy(F.desc("n"), "a").limit(FREQUENT).collect())
+    lexicon = model.where("b is null")
+    frequent = lexicon.orderBy(F.desc("n"), "a").limit(FREQUENT).select(F.col("a").alias("kelime"))
+    known = frozenset(r.kelime for r in frequent.join(candidates(frequent, lexicon).select("kelime"), "kelime", "left_anti").collect())
     rows = cut(readings(scanned, known).distinct())
     fixed = corrections(rows, model)
     by_token = fixed.groupBy("evrak_id", "alan", "satir", "sira", "belirtec").agg(F.collect_list(F.struct("yer", "dogru")).alias("duzeltmeler"))
