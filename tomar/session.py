@@ -46,15 +46,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def checked_broadcast(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """df with a broadcast hint if it has few rows, else as it is, for a join by shuffle. df should be cheap to count."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def checked_broadcast(df: DataFrame, rows: int = 500_000, megabytes: int = 64) -> DataFrame:
+    """df with a broadcast hint if it is small, else as it is, for a join by shuffle. df should be cheap to run.
+
+    Small is a bound on rows and on bytes: the rows are counted up to the bound, their bytes taken from a text of each row.
+    """
+    size = F.sum(F.length(F.to_json(F.struct("*")))).alias("size")
+    n, size_ = df.limit(rows + 1).agg(F.count("*").alias("n"), size).first()
+    return F.broadcast(df) if n <= rows and (size_ or 0) <= megabytes << 20 else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan over at least as many partitions as there are cores, for tables that come in few small files.
+def spread(df: DataFrame, megabytes: int = 64) -> DataFrame:
+    """A scan of a small table over at least as many partitions as there are cores, for tables that come in few small files.
 
-    Only for a scan with filters and columns chosen, whose partitions are known without running anything.
+    Only for a scan with filters and columns chosen, whose partitions and size are known without running anything. A table above
+    the bound is read as the files are split (spark.sql.files.maxPartitionBytes) and never shuffled for this.
     """
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+    if df.rdd.getNumPartitions() >= n or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > megabytes << 20:
+        return df
+    return df.repartition(n)
