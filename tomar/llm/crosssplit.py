@@ -2,11 +2,13 @@
 
 Method: minwise hashing with banded buckets. Texts are read without scan layout, letter case, accents,
 character forms and punctuation. Texts with the same words form a class and only one representative of a
-class is hashed further. Its set of two-word shingles (a quarter of the words may differ, which leaves few
-longer shingles) gets ``BANDS`` x ``ROWS`` minwise hashes; only pairs that share a band's bucket and stand in
-different splits are candidates. Candidates are verified by the exact Jaccard similarity of their shingles and then by
-the words in the same order (longest common subsequence against the longer text). Confirmed pairs are
-expanded to the members of both classes and aggregated by split and channel.
+class is hashed further. The hashed set is that of its words (shingles of one word: where a quarter of the words is replaced
+at scattered places, single words keep a Jaccard similarity of 0.6, pairs of words one of 1/3 only); ``HASHES`` minwise hashes
+are read as ``BANDS`` bands of ``ROWS`` hashes each, drawn at random. Only pairs that share a band's bucket and stand in
+different splits are candidates. A pair at 0.6 shares a bucket with a probability of 0.99, one at 0.3 with 0.08. Candidates are
+verified by the exact Jaccard similarity of their words and then by
+the words in the same order (longest common subsequence against the longer text). Confirmed pairs of classes are
+expanded to the members of both classes where pairs are asked for; the report counts members and expands nothing.
 
 Words are compared by their skeleton, in which characters that scans exchange are alike. Buckets with many
 members are salted: the training side of a hot bucket is spread over as many slices as it has times ``SALT``
@@ -33,8 +35,9 @@ from .rows import flat_map
 from .scan import continuous
 
 TRAINING, EVALUATION = "dev", ("h", "v2", "v3", "v4")
-SHINGLE, BANDS, ROWS, SALT, PROBE = 2, 48, 4, 512, 16
-LEAST_JACCARD, LEAST_ORDER = 0.2, 0.75
+HASHES, BANDS, ROWS, SALT, PROBE = 288, 120, 6, 512, 16
+#: A quarter of the words in other places, where words recur, leaves at least this much of the set; the order decides.
+LEAST_JACCARD, LEAST_ORDER = 0.3, 0.75
 
 
 def plain_words(text: str | None) -> list[int]:
@@ -42,11 +45,6 @@ def plain_words(text: str | None) -> list[int]:
     return [hash_of(w) for w in words(fold(continuous(text)))] if text else []
 
 
-def shingles(own: list[int], size: int = SHINGLE) -> set[tuple[int, ...]]:
-    """The word shingles of a text; a shorter text is one shingle."""
-    return set(zip(*(own[i:] for i in range(size)))) if len(own) >= size else ({tuple(own)} if own else set())
-
-
 def in_order(a: list[int], b: list[int]) -> int:
     """The length of the longest common subsequence of two word lists, by bits."""
     places: dict[int, int] = {}
@@ -60,8 +58,8 @@ def in_order(a: list[int], b: list[int]) -> int:
 
 
 def nearly_same(a: list[int], b: list[int]) -> tuple[float, float] | None:
-    """(Jaccard similarity of the shingles, share of the longer text in order) of a confirmed pair."""
-    x, y = shingles(a), shingles(b)
+    """(Jaccard similarity of the words, share of the longer text in order) of a confirmed pair."""
+    x, y = set(a), set(b)
     common = len(x & y)
     jaccard = common / (len(x) + len(y) - common)
     if jaccard < LEAST_JACCARD or min(len(a), len(b)) < LEAST_ORDER * max(len(a), len(b)):
@@ -73,23 +71,25 @@ def nearly_same(a: list[int], b: list[int]) -> tuple[float, float] | None:
 class Signer:
     """Bucket numbers of the bands of minwise hashes."""
 
-    def __init__(self, bands: int = BANDS, rows: int = ROWS, seed: int = 7):
+    def __init__(self, hashes: int = HASHES, bands: int = BANDS, rows: int = ROWS, seed: int = 7):
         random = np.random.default_rng(seed)
-        self.bands, self.rows = bands, rows
-        self.factor = random.integers(1, 1 << 62, bands * rows, dtype=np.uint64) | np.uint64(1)
-        self.shift = random.integers(0, 1 << 62, bands * rows, dtype=np.uint64)
+        self.factor = random.integers(1, 1 << 32, hashes, dtype=np.uint32) | np.uint32(1)
+        self.shift = random.integers(0, 1 << 32, hashes, dtype=np.uint32)
+        # Every hash is used about equally often: bands are cut from permutations of all.
+        rounds = -(-bands * rows // (hashes - hashes % rows))
+        self.of = np.concatenate([random.permutation(hashes)[: hashes - hashes % rows] for _ in range(rounds)])[: bands * rows].reshape(bands, rows)
         self.mix = random.integers(1, 1 << 62, rows, dtype=np.uint64) | np.uint64(1)
 
     def __call__(self, own: list[int]) -> list[int]:
-        h = np.array(own, dtype=np.uint64)
-        h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:] if len(h) > 1 else h
-        h = np.unique(h)
+        h = np.unique(np.array(own, dtype=np.uint64))
+        h = (h ^ (h >> np.uint64(32))).astype(np.uint32)
         least = None
-        for a in range(0, len(h), 512):
-            part = h[a : a + 512, None] * self.factor + self.shift
-            part = (part ^ (part >> np.uint64(33))).min(axis=0)
+        for a in range(0, len(h), 256):
+            part = h[a : a + 256, None] ^ self.shift
+            part *= self.factor
+            part = part.min(axis=0)
             least = part if least is None else np.minimum(least, part)
-        mixed = (least.reshape(self.bands, self.rows) * self.mix).sum(axis=1, dtype=np.uint64)
+        mixed = (least[self.of].astype(np.uint64) * self.mix).sum(axis=1, dtype=np.uint64)
         return (mixed >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()
 
 
@@ -181,22 +181,44 @@ def verified(pairs: DataFrame, rows: DataFrame, representatives: DataFrame) -> D
     return flat_map(both, make, "alan string, a bigint, b bigint, benzerlik double, sirali double")
 
 
-def overlaps(rows: DataFrame) -> DataFrame:
-    """(alan, egitim_id, sinama_id, benzerlik, sirali): every confirmed pair of rows(alan, evrak_id, kume, metin)."""
+def class_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of rows(alan, evrak_id, kume, metin).
+
+    members(alan, evrak_id, egitim, sinif) has the class of each record, links(alan, a, b, benzerlik, sirali) the classes a with a
+    training record and b with an evaluation record that are the same or nearly so.
+    """
     rows = rows.select("alan", "evrak_id", "kume", "metin")
     members = cut(signed(rows))
-    classes = members.groupBy("alan", "sinif").agg(
-        F.bool_or("egitim").alias("egitim"), F.bool_or(~F.col("egitim")).alias("sinama"), F.min("evrak_id").alias("evrak_id"), F.first("boy").alias("boy"), F.first("kovalar").alias("kovalar")
+    classes = cut(
+        members.groupBy("alan", "sinif").agg(
+            F.bool_or("egitim").alias("egitim"), F.bool_or(~F.col("egitim")).alias("sinama"), F.min("evrak_id").alias("evrak_id"), F.first("boy").alias("boy"), F.first("kovalar").alias("kovalar")
+        )
     )
     near = verified(cut(candidates(classes)), rows, classes.select("alan", "sinif", "evrak_id"))
     same = classes.where("egitim and sinama").select("alan", F.col("sinif").alias("a"), F.col("sinif").alias("b"), F.lit(1.0).alias("benzerlik"), F.lit(1.0).alias("sirali"))
-    links = cut(near.unionByName(same))
-    of = members.select("alan", "evrak_id", "egitim", "sinif").distinct()
+    return members.select("alan", "evrak_id", "egitim", "sinif").distinct(), cut(near.unionByName(same))
+
+
+def overlaps(rows: DataFrame) -> DataFrame:
+    """(alan, egitim_id, sinama_id, benzerlik, sirali): every confirmed pair of rows(alan, evrak_id, kume, metin)."""
+    of, links = class_links(rows)
     left = of.where("egitim").select("alan", F.col("sinif").alias("a"), F.col("evrak_id").alias("egitim_id"))
     right = of.where("not egitim").select("alan", F.col("sinif").alias("b"), F.col("evrak_id").alias("sinama_id"))
     return checked_broadcast(links).join(left, ["alan", "a"]).join(right, ["alan", "b"]).where("egitim_id <> sinama_id").select("alan", "egitim_id", "sinama_id", "benzerlik", "sirali")
 
 
+def report(rows: DataFrame, channels: DataFrame) -> DataFrame:
+    """(alan, kume, kaynak, cift, sizan_evrak) from the members of linked classes; channels(evrak_id, kume, kaynak) may lack records.
+
+    A class pair counts as many pairs as it has training records times evaluation records of the split and channel, so nothing is expanded.
+    """
+    of, links = class_links(rows)
+    training = of.where("egitim").groupBy("alan", F.col("sinif").alias("a")).agg(F.count("*").alias("n"))
+    partners = links.join(training, ["alan", "a"]).groupBy("alan", F.col("b").alias("sinif")).agg(F.sum("n").alias("n"))
+    leaked = of.where("not egitim").join(partners, ["alan", "sinif"]).join(channels, "evrak_id", "left")
+    return leaked.groupBy("alan", "kume", "kaynak").agg(F.sum("n").alias("cift"), F.countDistinct("evrak_id").alias("sizan_evrak"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of a training and an evaluation record with the same or nearly the same text."""
     pairs = overlaps(records(spark, sf_dir))
@@ -205,9 +227,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs and leaked records per field, evaluation split and channel."""
-    pairs = overlaps(records(spark, sf_dir)).select("alan", "egitim_id", F.col("sinama_id").alias("evrak_id"))
-    where = table(spark, sf_dir, "agent_state").select("evrak_id", "kume", "kaynak").distinct()
-    return pairs.join(where, "evrak_id", "left").groupBy("alan", "kume", "kaynak").agg(F.count("*").alias("cift"), F.countDistinct("evrak_id").alias("sizan_evrak"))
+    return report(records(spark, sf_dir), table(spark, sf_dir, "agent_state").select("evrak_id", "kume", "kaynak").distinct())
 
 
 QUERIES = {"p1_found": p1_found, "p1_report": p1_report}
