@@ -30,6 +30,27 @@ def test_pieces_end_at_paragraphs_articles_and_sentences():
         pieces.pieces("x", 5, 5)
 
 
+def test_pieces_follow_the_tree():
+    body = lambda n: " ".join(f"Kural {n} numaralı {i}. cümledir." for i in range(3))
+    text = "\n".join(["# Genel", "## Amaç", body(1), "## Kapsam", body(2), "# Özel", "## Usul", "1. " + body(3), "1.1. " + body(4), "2. " + body(5), "  - " + body(6), "## Son", body(7)])
+    own = [text[core:end] for _, core, end in pieces.pieces(text, 300, 20)]
+    assert "".join(own) == text
+    # Chapters don't share a piece, headings stand before their text and never end a piece.
+    assert not any("Kapsam" in x and "Usul" in x for x in own) and all(not x.strip().split("\n")[-1].startswith("#") for x in own)
+    assert [r for _, r in pieces.marks(text)] == [1, 2, 2, 1, 2, 14, 15, 14, 22, 2]
+    assert next(x for x in own if "## Usul" in x).startswith("# Özel") and any(x.startswith("2. ") and "  - " in x for x in own)
+    small = pieces.pieces("# A\n" + "## B\nx.\n" * 20, 30, 5)
+    assert all(("## B\nx.\n" * 20)[: b - max(c, 4)] for _, c, b in small) and len(small) > 5
+
+
+def test_every_item_is_a_piece(spark, tmp_path):
+    match = "array<struct<doc_id:string,icerik_ozeti:string>>"
+    spark.createDataFrame([(1, "kısa metin", None), (2, "uzun cümle. " * 600, [("d", "x" * 1300), ("e", None)]), (3, None, [])], f"evrak_id long, raw_text string, legislation_matches {match}").write.parquet(str(tmp_path / "agent_state.parquet"))
+    got = {(r.alan, r.evrak_id, r.sira, r.parca_sayisi) for r in pieces.p5_pieces(spark, str(tmp_path)).collect()}
+    assert got == {("raw_text", 1, 0, 1), ("raw_text", 2, 0, 2), ("legislation_matches", 2, 1, 2)}
+    assert {tuple(r) for r in pieces.p5_found(spark, str(tmp_path)).collect()} == {("raw_text", 2, 0), ("legislation_matches", 2, 1)}
+
+
 def test_split_items_with_extra_columns_repeats_and_nothing(spark):
     rows = [("raw_text", 1, 0, "a" * 9000, "fazla"), ("raw_text", 1, 0, "a" * 9000, "fazla"), ("legislation_matches", 2, 3, "kelime " * 400, "x"), ("raw_text", 3, 0, "", "x")]
     frame = spark.createDataFrame(rows, "alan string, evrak_id long, sira int, metin string, parca string")
@@ -64,6 +85,21 @@ def test_rewriting_is_stable_and_classes_are_transitive():
     assert lookalike.Classes([("x", "a", "b"), ("x", "d", "b")]).rewrites({"d": 5, "a": 1})["b"][0] == "d"
 
 
+def test_compatibility_forms_are_plain_and_units_stay():
+    assert lookalike.Rewriter({})("𝐀nkara ﬁnal Ⅳ, m² ½ ㎡ № ª") == ("Ankara final IV, m² ½ ㎡ № ª", {"uyumluluk"})
+
+
+@pytest.mark.parametrize("counts,wanted", [({"'": 9, "’": 2, "…": 1, "...": 7}, "it's, Ali'nin... ve... o"), ({"'": 1, "’": 2, "…": 4, "...": 3}, "it’s, Ali’nin… ve… o")])
+def test_frequency_chooses_among_alike_signs(counts, wanted):
+    assert lookalike.Rewriter(counts)("it's, Ali’nin… ve... o") == (wanted, {"isaret"})
+
+
+def test_rewriting_ends_only_when_nothing_changes():
+    text = "s" + "​̧" * 1 + "a" + "​" * 50 + "𝐛" + "­" * 9 + "̆"
+    once, _ = lookalike.Rewriter({})(text)
+    assert lookalike.Rewriter({})(once)[0] == once and not set(once) & set("​­𝐛")
+
+
 def test_canonical_of_tables(spark):
     rows = [(1, "Аltyapı", 0), (1, "Аltyapı", 0), (2, None, 1), (3, "", 1)]
     frame = spark.createDataFrame(rows, "evrak_id long, raw_text string, turler int")
@@ -148,9 +184,32 @@ def test_leaks_against_brute_force(spark):
     folded = {i: evalleak.squeezed(t) for i, t in items}
     wanted = {(d, i) for d, t, _ in docs if t for i, w in folded.items() if len(w) >= 30 and _holds(evalleak.squeezed(t), w)}
     assert got == wanted and len(wanted) > 10
+    # Items that don't fit a block are joined by shuffle, with the same rows.
+    assert {(r.doc_id, r.test_id) for r in evalleak.leaks(frame, asked, block=0).collect()} == wanted
+    assert evalleak.leaks_by_shuffle(frame.select("doc_id", "text").limit(0), asked).count() == 0
     assert evalleak.leaks(frame.limit(0), asked).count() == 0 == evalleak.leaks(frame, asked.limit(0)).count()
 
 
+def test_replaced_words_of_other_lengths_stay_within_a_band():
+    rng = random.Random(2)
+    item = _item(rng, 36)
+    quote = list(item)
+    for k in (7, 15, 24):
+        quote[k] = "x" * (len(quote[k]) + 40)
+    index = evalleak.Items([(1, evalleak.squeezed(" ".join(item)))])
+    assert index.passages([evalleak.squeezed(" ".join(["önce"] * 9 + quote))]) == [(0, 0)]
+
+
+def test_many_items_by_shuffle(spark):
+    """Items that share phrases, more than a block holds."""
+    rng = random.Random(8)
+    phrase = " ".join(_item(rng, 20))
+    items = spark.range(5_000).selectExpr("cast(id as int) as test_id", f"concat('{phrase} ', array_join(transform(sequence(1, 34), i -> concat('k', hex(xxhash64(id, i)))), ' ')) as metin")
+    some = {r.test_id: r.metin for r in items.where("test_id % 1000 = 7").collect()}
+    docs = spark.createDataFrame([(i, f"giriş {m} son") for i, m in some.items()] + [(10**6 + i, f"{phrase} yalnızca ortak söz {i}") for i in range(200)], "doc_id long, text string")
+    assert {tuple(r) for r in evalleak.leaks(docs, items).collect()} == {(i, i) for i in some}
+
+
 def test_passages_begin_and_end_with_right_words():
     assert evalleak._passage([True] * 27 + [False] * 2 + [True])
     assert not evalleak._passage([True] * 27 + [False] * 3)

@@ -1,10 +1,12 @@
 """Problem 5: items above a size limit, cut at natural boundaries.
 
-Method: structure-tree packing. An item is parsed into a tree (item, sections opened by an article or
-numbered heading, paragraphs, sentences, words, characters); sibling subtrees are merged bottom-up as long
-as they fit, and only nodes above the limit are descended into. The cores of the pieces partition the text;
-a piece is its core preceded by the last ``overlap`` characters before it, so consecutive pieces overlap by
-exactly that many characters and the cores joined give the text again.
+Method: structure-tree packing. The marks of a text (markdown headings, book, part and chapter lines, articles, Roman, capital,
+decimal, bracketed and letter items, bullets by their indent) have ranks; a mark opens a node that reaches to the next mark of the same
+or a lower rank, which nests the nodes to a tree. Below the last marks a node divides into paragraphs, lines, sentences, words and
+characters. A node within the limit stays whole; of a larger one the children are packed: sibling subtrees are merged in order as long as they
+fit, only an oversized child is descended into, and its pieces are not merged with its parent's other children. A heading stays with
+what follows it. The cores of the pieces partition the text; a piece is its core preceded by the last ``overlap`` characters before it, so
+consecutive pieces overlap by exactly that many characters and the cores joined give the text again.
 
 Defined cases: a null or empty text gives no piece; a text within the limit gives one piece, itself; a text
 without any boundary (one endless word) is cut between characters, never between a letter and its combining
@@ -26,24 +28,60 @@ from .rows import flat_map
 #: Characters of a piece at most, and of the overlap, by field.
 LIMITS = {"raw_text": (4000, 200), "legislation_matches": (1200, 100)}
 
-# From the coarsest to the finest boundary; a cut falls where a match ends (of the first, where it begins).
-_SECTION = re.compile(r"(?:(?<=\s)|^)(?=(?:(?:GEÇİCİ |EK )?MADDE|Madde)\s+\d+\s*[-–.:])|^(?=#{1,6}\s)|^(?=(?:[IVX]+|\d{1,3}|[A-ZÇĞİÖŞÜ])[.)]\s)", re.M)
+# The marks that open a node, with their ranks from the outermost; decimal numbers add their depth, bullets their indent.
+_MARKS = re.compile(
+    r"""
+    (?:^|(?<=\s))(?=(?P<article>(?:(?:GEÇİCİ\ |EK\ )?MADDE|Madde)\s+\d+\s*[-–.:]))
+    | ^(?=[ \t]*(?:
+        (?P<hash>\#{1,6})\s
+      | (?:[^\W\d_]+|\d{1,3}\.)\ (?P<part>KİTAP|KISIM|BÖLÜM|AYIRIM)\b
+      | (?P<roman>[IVXLC]{1,7})[.)]\s
+      | (?P<capital>[A-ZÇĞİÖŞÜ])[.)]\s
+      | (?P<decimal>\d{1,3}(?:\.\d{1,3}){0,4})[.)]\s
+      | (?P<bracket>\(\d{1,3}\))\s
+      | (?P<letter>[a-zçğıöşü])\)\s
+      | [-•*–]\s(?!\s*\d+\s*[-–])
+    ))""",
+    re.M | re.X,
+)
+_PARTS = {"KİTAP": 7, "KISIM": 8, "BÖLÜM": 9, "AYIRIM": 10}
+# Below the marks, from the coarsest to the finest boundary; a cut falls where a match ends.
 _LEVELS = (
     re.compile(r"\n[ \t\r]*\n\s*|\f\s*"),
     re.compile(r"\n+"),
     re.compile(r"(?<=[.!?…])[\"”»')\]]*\s+(?=[\"“«'(\[]?[A-ZÇĞİÖŞÜÂÎÛ0-9])|(?<=;)\s+"),
     re.compile(r"\s+"),
 )
+_PARAGRAPHS, _LINES = 0, 1
 
 
-def _split(text: str, start: int, end: int, level: int) -> list[tuple[int, int]]:
-    """The children of text[start:end] at a level of the tree; several, or the node itself."""
-    if level == 0:
-        cuts = [m.start() for m in _SECTION.finditer(text, start, end)]
-    else:
-        cuts = [m.end() for m in _LEVELS[level - 1].finditer(text, start, end)]
-    marks = [start, *(c for c in cuts if start < c < end), end]
-    return list(zip(marks, marks[1:]))
+def marks(text: str) -> list[tuple[int, int]]:
+    """(place, rank) of the marks of a text in order; a lower rank is further out."""
+    out = []
+    for m in _MARKS.finditer(text):
+        if m["hash"]:
+            rank = len(m["hash"])
+        elif m["part"]:
+            rank = _PARTS[m["part"]]
+        elif m["article"]:
+            rank = 11
+        elif m["roman"] or m["capital"]:
+            rank = 12 if m["roman"] else 13
+        elif m["decimal"]:
+            rank = 14 + m["decimal"].count(".")
+        elif m["bracket"] or m["letter"]:
+            rank = 19 if m["bracket"] else 20
+        else:
+            line = text[m.start() : m.start() + 40]
+            rank = 21 + min(8, (len(line) - len(line.lstrip())) // 2)
+        out.append((m.start(), rank))
+    return out
+
+
+def _heading(text: str) -> bool:
+    """Whether the first child of a node is only its heading: one short line that ends no sentence."""
+    line = text.strip()
+    return 0 < len(line) <= 120 and "\n" not in line and (line[0] == "#" or line[-1] not in ".;,!?…")
 
 
 def _characters(text: str, start: int, end: int, room: int) -> list[tuple[int, int]]:
@@ -60,20 +98,58 @@ def _characters(text: str, start: int, end: int, room: int) -> list[tuple[int, i
     return [*out, (start, end)]
 
 
-def _pack(text: str, start: int, end: int, level: int, room: int) -> list[tuple[int, int]]:
-    """Spans of at most room characters that partition text[start:end]."""
+def _tree(text: str, start: int, end: int, own: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:
+    """Spans of at most room characters that partition the node text[start:end] with the marks own inside it."""
+    if end - start <= room:
+        return [(start, end)]
+    own = [m for m in own if m[0] > start]
+    if not own:
+        return _plain(text, start, end, _PARAGRAPHS, room)
+    outer = min(rank for _, rank in own)
+    cuts = [start, *(at for at, rank in own if rank == outer), end]
+    spans: list[tuple[int, int]] = []
+    merged = False
+    first = 0
+    for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        inside = []
+        while first < len(own) and own[first][0] < b:
+            inside.append(own[first])
+            first += 1
+        if spans and merged and n == 1 and _heading(text[slice(*spans[-1])]):
+            a, merged = spans.pop()[0], False  # a heading goes with the first child
+        if b - a > room:
+            spans += _tree(text, a, b, [m for m in inside if m[0] > cuts[n]], room)
+            merged = False
+        elif merged and b - spans[-1][0] <= room:
+            spans[-1] = (spans[-1][0], b)
+        else:
+            spans.append((a, b))
+            merged = True
+    return spans
+
+
+def _plain(text: str, start: int, end: int, level: int, room: int) -> list[tuple[int, int]]:
+    """The same for a node without marks, from a level of boundaries on."""
     if end - start <= room:
         return [(start, end)]
-    if level > len(_LEVELS):
+    if level == len(_LEVELS):
         return _characters(text, start, end, room)
-    merged: list[tuple[int, int]] = []
-    for a, b in _split(text, start, end, level):
-        for span in _pack(text, a, b, level + 1, room) if b - a > room else [(a, b)]:
-            if merged and span[1] - merged[-1][0] <= room:
-                merged[-1] = (merged[-1][0], span[1])
-            else:
-                merged.append(span)
-    return merged
+    cuts = [start, *(m.end() for m in _LEVELS[level].finditer(text, start, end) if start < m.end() < end), end]
+    spans: list[tuple[int, int]] = []
+    merged = False
+    for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if level <= _LINES and spans and merged and n == 1 and _heading(text[slice(*spans[-1])]):
+            a, merged = spans.pop()[0], False
+        if merged and b - spans[-1][0] <= room:
+            spans[-1] = (spans[-1][0], b)
+            continue
+        own = _plain(text, a, b, level + 1, room)
+        # Words of a long sentence may share a piece with the next sentence; paragraphs keep to themselves.
+        if level > _LINES and spans and own[0][1] - spans[-1][0] <= room:
+            spans[-1] = (spans[-1][0], own.pop(0)[1])
+        spans += own
+        merged = level > _LINES or b - a <= room
+    return spans
 
 
 def pieces(text: str | None, limit: int, overlap: int) -> list[tuple[int, int, int]]:
@@ -84,7 +160,7 @@ def pieces(text: str | None, limit: int, overlap: int) -> list[tuple[int, int, i
         return []
     if len(text) <= limit:
         return [(0, 0, len(text))]
-    return [(max(0, a - overlap), a, b) for a, b in _pack(text, 0, len(text), 0, limit - overlap)]
+    return [(max(0, a - overlap), a, b) for a, b in _tree(text, 0, len(text), marks(text), limit - overlap)]
 
 
 def split_items(items: DataFrame, limits: dict[str, tuple[int, int]] = LIMITS) -> DataFrame:
@@ -120,14 +196,19 @@ def _limit():
     return case
 
 
-def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every piece of every item above its limit."""
+def oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the items above their limit."""
     return split_items(items(table(spark, sf_dir, "agent_state")).where(F.length("metin") > _limit()))
 
 
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item as numbered pieces within its limit; an item within it is one piece."""
+    return split_items(items(table(spark, sf_dir, "agent_state")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items above the limit: those that the operator cuts."""
-    return p5_pieces(spark, sf_dir).where("parca = 1 and parca_sayisi > 1").select("alan", "evrak_id", "sira").distinct()
+    return oversized(spark, sf_dir).where("parca = 1 and parca_sayisi > 1").select("alan", "evrak_id", "sira").distinct()
 
 
 QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces}
