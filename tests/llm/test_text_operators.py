@@ -135,12 +135,27 @@ def test_languages_of_documents(spark, tmp_path):
     assert stretches == [(1, "tr"), (2, "en")]
 
 
+def test_documents_in_no_known_language_are_und(spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in _documents(spark).where("doc_id < 900").collect()]
+    odd = [(950, "Ĝxqq wvzk ĵĵpk qqzr xxwv. Zzkq pqvx wwzq kkxq vvpz."), (951, SENTENCES["de"])]
+    frame = spark.createDataFrame([*rows, *((i, t, None) for i, t in odd)], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.dil, r.guven) for r in langid.languages(langid.segments(frame)).collect()}
+    assert got[950][0] == "und" and 0 <= got[950][1] <= 1 and got[951][0] == "de" and len(got) == len(rows) + 2
+
+
+def test_languages_are_those_of_the_labels(spark):
+    italian = "Il consiglio ha deciso di riparare la vecchia strada prima dell'inverno. I richiedenti devono consegnare i loro documenti entro venerdì. La commissione ha discusso ogni parte del bilancio."
+    rows = [(r.doc_id, r.text, r.lang) for r in _documents(spark).where("doc_id < 900").collect()] + [(800 + i, italian, "it-IT") for i in range(8)] + [(899, italian, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.dil for r in langid.languages(langid.segments(frame)).where("doc_id = 899").collect()} == {"it"}
+
+
 def test_languages_of_nothing(spark):
     none = _documents(spark).limit(0)
     assert langid.languages(langid.segments(none)).count() == 0
 
 
-@pytest.mark.parametrize("notation,code", [("TR", "tr"), ("tr-TR", "tr"), ("Türkçe", "tr"), ("ger", "de"), ("français", "fr"), ("AZƏRBAYCANCA", "az"), ("xyz", None), ("", None), (None, None)])
+@pytest.mark.parametrize("notation,code", [("TR", "tr"), ("tr-TR", "tr"), ("Türkçe", "tr"), ("ger", "de"), ("français", "fr"), ("AZƏRBAYCANCA", "az"), ("xyz", "xyz"), ("it", "it"), ("und", None), ("sonstige", None), ("", None), (None, None)])
 def test_labels(spark, notation, code):
     assert spark.createDataFrame([(notation,)], "l string").select(langid.label(F.col("l")).alias("c")).first().c == code
 

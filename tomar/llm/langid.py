@@ -7,13 +7,15 @@ sentence goes to the language of the centroid with the highest cosine, and is re
 below what all but a small share of the training sentences reach. Sentences of a document are then joined
 to stretches by the best path that pays for each change of language.
 
-The classifier is fitted on at most ``SAMPLE`` labelled documents a language (chosen by hash, whole texts);
-labels may be wrong: documents whose nearest centroid speaks against their label are dropped and the fit is
+The classifier is fitted on at most ``SAMPLE`` labelled documents a language (chosen by hash, whole texts of at most ``LONGEST`` characters, which
+bounds the sample in bytes too); labels may be wrong: documents whose nearest centroid speaks against their label are dropped and the fit is
 repeated. Everything else runs over all documents.
 
 Defined cases: null, empty and letterless texts have no language and give no stretch; a text without a whole
 sentence is one stretch; a missing label is null, blank or a placeholder; labels are compared by language, not by notation;
-repeated rows are handled alike; extra columns are ignored; without any labelled row there is no language and the result is empty.
+repeated rows are handled alike; extra columns are ignored; without any labelled row there is no language and the result is empty;
+a stretch that is rejected has no language, and a document without any accepted stretch is reported as ``und`` with what its nearest
+language is sure by. The languages are those that the labels name: a notation below, or any other two- or three-letter code.
 """
 
 from __future__ import annotations
@@ -31,11 +33,15 @@ from .rows import flat_map
 
 #: Labelled documents a language that the classifier is fitted on, at most.
 SAMPLE = 200
+#: Characters of a text of that sample, at most; longer documents are not sampled, but classified like all.
+LONGEST = 20_000
 CLUSTERS = 4
 BITS = 16
 GRAM = 3
 #: Sentences that are weighed at once, which bounds the memory.
 SLICE = 1000
+#: The code of documents in no known language.
+UNKNOWN = "und"
 REJECT_SHARE = 0.005
 CHANGE = 2.5
 SHARPNESS = 25.0
@@ -58,12 +64,13 @@ _END = re.compile(r"[.!?…][\"”»')\]]*\s*$")
 
 
 def label(column):
-    """The language code that a label names, or null; the region and the letter case don't count."""
+    """The language code that a label names, or null; the region and the letter case don't count. Unknown short codes name themselves."""
     plain = F.lower(F.trim(F.translate(column, "İI", "iı")))
     plain = F.when(plain.contains("-") | plain.contains("_"), F.regexp_extract(plain, "^([^-_]+)[-_]", 1)).otherwise(plain)
     undotted = F.translate(plain, "ı", "i")
     names = F.create_map(*[x for word, code in _BY_NOTATION.items() for x in (F.lit(word), F.lit(code))])
-    return F.coalesce(F.element_at(names, plain), F.element_at(names, undotted))
+    code = F.when(undotted.rlike("^[a-z]{2,3}$") & ~missing(column), undotted)
+    return F.coalesce(F.element_at(names, plain), F.element_at(names, undotted), code)
 
 
 def missing(column):
@@ -251,7 +258,7 @@ def stretches(spans, whole, scores: np.ndarray, floor: float) -> list[tuple[int,
 
 def train(documents: DataFrame, sample: int = SAMPLE) -> Centroids:
     """A classifier from a bounded sample of the labelled documents."""
-    known = documents.select("doc_id", "text", label(F.col("lang")).alias("dil")).where("dil is not null and text is not null")
+    known = documents.select("doc_id", "text", label(F.col("lang")).alias("dil")).where("dil is not null and text is not null").where(F.length("text") <= LONGEST)
     order = Window.partitionBy("dil").orderBy(F.xxhash64("doc_id"), "doc_id")
     rows = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).collect()
     return fit(sorted((r.dil, r.text) for r in rows))
@@ -286,13 +293,14 @@ def segments(documents: DataFrame, model: Centroids | None = None) -> DataFrame:
 
 
 def languages(found: DataFrame) -> DataFrame:
-    """(doc_id, dil, guven): the languages a document holds, each in at least two whole sentences, or else its main one."""
-    by = found.where("dil is not null").groupBy("doc_id", "dil").agg(
+    """(doc_id, dil, guven): the languages a document holds, each in at least two whole sentences, or else its main one, or ``und``."""
+    by = found.groupBy("doc_id", F.coalesce("dil", F.lit(UNKNOWN)).alias("dil")).agg(
         F.sum("cumle").alias("cumle"), (F.sum(F.col("guven") * (F.col("son") - F.col("bas"))) / F.sum(F.col("son") - F.col("bas"))).alias("guven"), F.sum(F.col("son") - F.col("bas")).alias("boy")
     )
-    per = by.groupBy("doc_id").agg(F.collect_list(F.struct("cumle", "boy", "dil", "guven")).alias("all"))
-    several = F.filter("all", lambda x: x.cumle >= 2)
-    main = F.slice(F.sort_array("all", asc=False), 1, 1)
+    per = by.groupBy("doc_id").agg(F.collect_list(F.struct("cumle", "boy", "dil", "guven")).alias("own"))
+    known = F.filter("own", lambda x: x.dil != UNKNOWN)
+    several = F.filter("own", lambda x: (x.cumle >= 2) & (x.dil != UNKNOWN))
+    main = F.slice(F.sort_array(F.when(F.size(known) > 0, known).otherwise(F.col("own")), asc=False), 1, 1)
     return per.select("doc_id", F.explode(F.when(F.size(several) > 0, several).otherwise(main)).alias("x")).select("doc_id", "x.dil", F.round("x.guven", 4).alias("guven"))
 
 
@@ -309,7 +317,7 @@ def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The languages of documents without a label, with a wrong one, or with several languages."""
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    held = languages(segments(documents)).groupBy("doc_id").agg(F.collect_set("dil").alias("diller"))
+    held = languages(segments(documents)).where(F.col("dil") != UNKNOWN).groupBy("doc_id").agg(F.collect_set("dil").alias("diller"))
     known = label(F.col("lang"))
     wrong = missing(F.col("lang")) | (F.size("diller") > 1) | known.isNull() | ~F.array_contains("diller", F.coalesce(known, F.lit("")))
     labels = documents.select("doc_id", "lang").distinct()

@@ -13,7 +13,7 @@ themselves; repeated rows are replicated alike; a target that is null or not pos
 empty tables give an empty mixture; extra columns are ignored.
 
 Sizes are tokens of a public byte-level vocabulary, whose file is a parameter. The figures that reach the
-driver are one row for each source that has a target.
+driver are one row for each source that has a target; the rates go back as a table, broadcast behind a check of its size.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomar.session import cut, table
+from tomar.session import checked_broadcast, cut, table
 
 from .rows import flat_map
 
@@ -91,32 +91,33 @@ def rates(tokens: dict[str, int], targets: dict[str, tuple[float, int]]) -> dict
 def plan(counts: DataFrame, targets: DataFrame) -> dict[str, tuple[float, int]]:
     """The rates from token counts and kaynak_hedefleri(source, hedef_pay, azami_tekrar)."""
     wanted = {r.source: (r.hedef_pay or 0.0, r.azami_tekrar or 1) for r in targets.where("source is not null").collect()}
-    totals = counts.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").groupBy("source").agg(F.sum("token").alias("token"))
+    totals = counts.join(checked_broadcast(targets.select("source").distinct()), "source", "left_semi").groupBy("source").agg(F.sum("token").alias("token"))
     return rates({r.source: r.token for r in totals.collect()}, wanted)
 
 
-def copies(plan_: dict[str, tuple[float, int]], seed: int = SEED):
-    """A column: how often a document (doc_id, source) is repeated."""
-    if not plan_:
-        return F.lit(0)
-    cuts = F.create_map(*[x for s, (rate, cap) in sorted(plan_.items()) for x in (F.lit(s), F.array(*[F.lit(c) for c in replication(rate, cap)]))])
+def repeated(documents: DataFrame, plan_: dict[str, tuple[float, int]], seed: int = SEED) -> DataFrame:
+    """documents with n: how often a document (doc_id, source) is repeated, 0 for sources without a rate."""
+    spark = documents.sparkSession
+    rows = [(s, replication(rate, cap)) for s, (rate, cap) in sorted(plan_.items())]
+    cuts = spark.createDataFrame(rows, "source string, _esik array<double>")
     uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / F.lit(float(1 << 53))
-    return F.coalesce(F.size(F.filter(F.try_element_at(cuts, F.col("source")), lambda c: c <= uniform)), F.lit(0))
+    n = F.coalesce(F.size(F.filter("_esik", lambda c: c <= uniform)), F.lit(0))
+    return documents.join(checked_broadcast(cuts), "source", "left").withColumn("n", F.when(F.col("_esik").isNull(), 0).otherwise(n)).drop("_esik")
 
 
 def mixture(documents: DataFrame, plan_: dict[str, tuple[float, int]], seed: int = SEED) -> DataFrame:
     """(doc_id, source, kopya, text): the documents repeated by their counts, in one global random order."""
-    repeated = documents.where("source is not null and text <> ''").withColumn("n", copies(plan_, seed)).where("n > 0")
-    each = repeated.select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("kopya"), "text")
+    own = repeated(documents.select("doc_id", "source", "text").where("source is not null and text <> ''"), plan_, seed).where("n > 0")
+    each = own.select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("kopya"), "text")
     return each.orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "kopya"), "doc_id", "kopya")
 
 
 def report(counts: DataFrame, targets: DataFrame, plan_: dict[str, tuple[float, int]], seed: int = SEED) -> DataFrame:
     """The shares really reached, one row for each target and each source without target."""
-    by = counts.withColumn("n", copies(plan_, seed)).groupBy("source").agg(
+    by = repeated(counts.select("doc_id", "source", "token"), plan_, seed).groupBy("source").agg(
         F.count("*").alias("belge"), F.sum("token").alias("token"), F.sum("n").alias("kopya"), F.max("n").alias("en_cok_tekrar"), F.sum(F.col("n") * F.col("token")).alias("karisim_token")
     )
-    every = by.join(F.broadcast(targets.select("source", "hedef_pay", "azami_tekrar")), "source", "full_outer")
+    every = by.join(checked_broadcast(targets.select("source", "hedef_pay", "azami_tekrar")), "source", "full_outer")
     total = by.agg(F.sum("karisim_token").alias("toplam"))
     return every.join(F.broadcast(total)).select(
         "source", "hedef_pay", "azami_tekrar", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("belge", "token", "kopya", "en_cok_tekrar", "karisim_token")],
