@@ -255,6 +255,27 @@ def test_repairs(spark):
     assert "işlemini" in text and "- 2 -" not in text and text.count("ÖRNEK KURUMU") == 0
 
 
+def test_confusions_are_estimated_from_the_texts(spark):
+    words = ["kalem", "kelime", "selam", "kılavuz", "salon", "bilanço", "plan", "lamba", "kulak", "defter", "kepçe"]
+    lexicon = spark.createDataFrame([(w, 200) for w in words], "a string, n long")
+    read = [(w.replace("l", "1"), 400) for w in words if "l" in w] + [("dcfter", 2)]
+    pairs = ocrnoise.possible(spark.createDataFrame(read, "kelime string, t long"), lexicon)
+    assert {(r.kelime, r.aday) for r in pairs.collect()} >= {("ka1em", "kalem"), ("dcfter", "defter")}
+    got = ocrnoise.estimated(pairs, lexicon, 20_000)
+    prior = {f"{a}>{b}": p for a, b, p in ocrnoise.CONFUSIONS}
+    # Equally likely before, the confusion that the texts show more often is the likelier one.
+    assert prior["1>l"] == prior["c>e"] and got["1>l"] > got["c>e"] + 1
+    assert ocrnoise.explained("ka1em", "kalem")[1] == ["1>l"] and ocrnoise.explained("x", "y") is None
+
+
+def test_paths_through_frequent_words_are_not_favoured():
+    """The likelihood of a word is divided by the count of the word before it."""
+    word = lambda w, at, options, **k: {"sira": at, "yer": 0, "kelime": w, "m": 0, "adaylar": [{"aday": a, "n": n, "kanal": -4.0} for a, n in options], "onceki": "<s>", "sonraki": "</s>", "baglanir": False, "satir_son": None, **k}
+    line = [word("a1", 0, [("sık", 100_000), ("az", 40)], baglanir=True, satir_son=(1, 0), sonraki="b1"), word("b1", 1, [("son", 50)], onceki="a1")]
+    pair = {("<s>", "sık"): 50, ("<s>", "az"): 30, ("sık", "son"): 10, ("az", "son"): 30}
+    assert ocrnoise.decode(line, pair, 1e6) == ["az", "son"]
+
+
 @pytest.mark.parametrize("times", [1, 10])
 def test_frequent_words_are_decoded_by_ratio_and_not_by_count(spark, times):
     clean = (["Kestane mah no beş."] * 20 + ["Yeni mali işler."] * 5) * times

@@ -1,9 +1,10 @@
 """Problem 4: noise in texts from scanned pages.
 
 Method: noisy-channel correction. Page numbers and running lines are told from the layout and taken out, and words
-divided at line ends are joined. What remains is read as words that a channel of character confusions
-(``CONFUSIONS``, with probabilities) may have changed. The language model is the counts of words and pairs of
-words in all texts that were not scanned. Words of one skeleton, in which characters that scans exchange are written
+divided at line ends are joined. What remains is read as words that a channel of character confusions may have changed. Which
+confusions there are is given (``CONFUSIONS``); how likely each is beside the others is estimated from the scanned texts themselves, from words
+that no other text has and that one right word only explains, with the given probabilities as prior of weight ``PRIOR``. The language model is
+the normalised bigram likelihood, interpolated with single words, from the counts of words and pairs of words in all texts that were not scanned. Words of one skeleton, in which characters that scans exchange are written
 alike, are candidates for each other, so candidates come from an equality join; each line is decoded by
 Viterbi over its candidate words: channel times bigram likelihood.
 
@@ -33,6 +34,8 @@ from .scan import body_lines, divided, layout
 FREQUENT = 20_000
 #: Weight of an unseen word beside one seen occurrence, of one with a digit or sign inside, and of the single-word model.
 UNSEEN, BROKEN, MIX = 0.02, 0.0002, 2.0
+#: How many expected readings the prior of a confusion weighs; the least and the greatest probability of one.
+PRIOR, LEAST, MOST = 2000.0, 1e-4, 0.3
 
 #: What is read, what stands there, and how likely that is.
 CONFUSIONS = [
@@ -77,26 +80,41 @@ def recased(word: str, like: str) -> str:
     return word
 
 
-def channel(read: str, right: str) -> float | None:
-    """The logarithm of the probability that a word is read so, or None if no confusions explain it."""
-    best: dict[tuple[int, int], float] = {(0, 0): 0.0}
+def explained(read: str, right: str) -> tuple[float, list[str]] | None:
+    """(logarithm of the probability that a word is read so, confusions as 'read>right'), or None if no confusions explain it."""
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     frontier = [(0, 0)]
     while frontier:
         new = set()
         for i, j in frontier:
-            p = best[i, j]
+            p = best[i, j][0]
             steps = []
             if i < len(read) and j < len(right) and read[i] == right[j]:
-                steps.append((1, 1, 0.0))
+                steps.append((1, 1, 0.0, None))
             if i < len(read):
-                steps += [(len(a), len(b), lp) for a, b, lp in _BY_READ.get(read[i], ()) if read.startswith(a, i) and right.startswith(b, j)]
-            for x, y, lp in steps:
+                steps += [(len(a), len(b), lp, f"{a}>{b}") for a, b, lp in _BY_READ.get(read[i], ()) if read.startswith(a, i) and right.startswith(b, j)]
+            for x, y, lp, name in steps:
                 key = (i + x, j + y)
-                if p + lp > best.get(key, -1e9):
-                    best[key] = p + lp
+                if key not in best or p + lp > best[key][0]:
+                    best[key] = (p + lp, (i, j, name))
                     new.add(key)
         frontier = sorted(new)
-    return best.get((len(read), len(right)))
+    at = (len(read), len(right))
+    if at not in best:
+        return None
+    score, names = best[at][0], []
+    while best[at][1]:
+        i, j, name = best[at][1]
+        if name:
+            names.append(name)
+        at = (i, j)
+    return score, names[::-1]
+
+
+def channel(read: str, right: str) -> float | None:
+    """The logarithm of the prior probability that a word is read so, or None if no confusions explain it."""
+    found = explained(read, right)
+    return found and found[0]
 
 
 def plain_variant(read: str, right: str) -> bool:
@@ -172,7 +190,7 @@ _ROWS = "evrak_id bigint, alan string, tur string, satir int, sira int, yer int,
 
 
 def readings(scanned: DataFrame, known: frozenset[str]) -> DataFrame:
-    """The page-number and running lines, the divided words and the words to look up of scanned(evrak_id, alan, metin)."""
+    """The page-number and running lines, the divided words and the words to look up of scanned(evrak_id, alan, metin), and as toplam the words of each text."""
     shared = scanned.sparkSession.sparkContext.broadcast(known)
 
     def make():
@@ -193,6 +211,7 @@ def readings(scanned: DataFrame, known: frozenset[str]) -> DataFrame:
             for r in rows:
                 lines, numbers, running = read_lines(r["metin"])
                 head = (r["evrak_id"], r["alan"])
+                yield *head, "toplam", sum(map(len, lines)), -1, -1, None, None, None, None
                 for kind, own in (("sayfa_no", numbers), ("ustbilgi", running)):
                     for line in dict.fromkeys(own):
                         yield *head, kind, -1, -1, -1, line, None, None, None
@@ -212,19 +231,19 @@ def readings(scanned: DataFrame, known: frozenset[str]) -> DataFrame:
     return flat_map(scanned, make, _ROWS)
 
 
-def candidates(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(kelime, m, adaylar): the right words that a word may be a misreading of, with their counts and channel."""
-    sized = words.join(lexicon.select(F.col("a").alias("kelime"), F.col("n").alias("m")), "kelime", "left").select("kelime", F.coalesce("m", F.lit(0)).alias("m"))
+def possible(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(kelime, m, t, aday, n, islem): the right words that each of words(kelime, t) may be a misreading of, and the confusions that make it so."""
+    sized = words.join(lexicon.select(F.col("a").alias("kelime"), F.col("n").alias("m")), "kelime", "left").select("kelime", F.coalesce("m", F.lit(0)).alias("m"), "t")
 
     def make():
         def run(rows):
             for r in rows:
-                yield skeleton(r["kelime"]), r["kelime"], r["m"]
+                yield skeleton(r["kelime"]), r["kelime"], r["m"], r["t"]
 
         return run
 
-    wanted = flat_map(sized, make, "iskelet string, kelime string, m bigint")
-    right = flat_map(lexicon.where("a <> '#'").select(F.col("a").alias("kelime"), F.col("n").alias("m")), make, "iskelet string, aday string, n bigint")
+    wanted = flat_map(sized, make, "iskelet string, kelime string, m bigint, t bigint")
+    right = flat_map(lexicon.where("a <> '#'").select(F.col("a").alias("kelime"), F.col("n").alias("m"), F.lit(0).cast("bigint").alias("t")), make, "iskelet string, aday string, n bigint, t bigint").drop("t")
     both = wanted.join(right, "iskelet").where("kelime <> aday and n > 3 * m")
 
     def weigh():
@@ -232,9 +251,9 @@ def candidates(words: DataFrame, lexicon: DataFrame) -> DataFrame:
             for r in rows:
                 if any(c.isdigit() for c in r["aday"]) or plain_variant(r["kelime"], r["aday"]):
                     continue
-                p = channel(r["kelime"], r["aday"])
-                if p is not None:
-                    yield r["kelime"], r["m"], r["aday"], r["n"], p
+                found = explained(r["kelime"], r["aday"])
+                if found:
+                    yield r["kelime"], r["m"], r["t"], r["aday"], r["n"], found[1]
 
         return run
 
@@ -245,19 +264,61 @@ def candidates(words: DataFrame, lexicon: DataFrame) -> DataFrame:
             for r in rows:
                 word = r["kelime"]
                 if re.fullmatch(r"[^\W\d_]+(?:[0-9!|][^\W\d_]+)+", word):
-                    yield word, r["m"], word.translate(_LETTER), 1, math.log(0.02) * sum(not c.isalpha() for c in word)
+                    yield word, r["m"], r["t"], word.translate(_LETTER), 1, [f"{c}>{c.translate(_LETTER)}" for c in word if not c.isalpha()]
+
+        return run
+
+    schema = "kelime string, m bigint, t bigint, aday string, n bigint, islem array<string>"
+    every = flat_map(both.select("kelime", "m", "t", "aday", "n"), weigh, schema).unionByName(flat_map(sized, straight, schema))
+    return every.groupBy("kelime", "m", "t", "aday").agg(F.max("n").alias("n"), F.min_by("islem", F.size("islem")).alias("islem"))
+
+
+def estimated(pairs: DataFrame, lexicon: DataFrame, tokens: int) -> dict[str, float]:
+    """The logarithm of the probability of each confusion, beside the others as often as the scanned texts show it.
+
+    The common level of all stays that of the prior, which ``UNSEEN`` and ``BROKEN`` are set to. What reaches the driver is a row a confusion.
+    """
+    prior = {f"{a}>{b}": p for a, b, p in CONFUSIONS}
+    single = pairs.where("m = 0").groupBy("kelime").agg(F.count("*").alias("k"), F.first("islem").alias("islem"), F.first("t").alias("t")).where("k = 1")
+    seen = {r.islem: r.t for r in single.select(F.explode("islem").alias("islem"), "t").groupBy("islem").agg(F.sum("t").alias("t")).collect()}
+    rights = sorted({b for _, b, _ in CONFUSIONS})
+
+    def make():
+        def run(rows):
+            total = dict.fromkeys(["", *rights], 0)
+            for r in rows:
+                total[""] += r["n"]
+                for b in rights:
+                    if b in r["a"]:
+                        total[b] += r["n"] * r["a"].count(b)
+            yield from total.items()
 
         return run
 
-    schema = "kelime string, m bigint, aday string, n bigint, kanal double"
-    every = flat_map(both.select("kelime", "m", "aday", "n"), weigh, schema).unionByName(flat_map(sized, straight, schema))
-    best = every.groupBy("kelime", "m", "aday").agg(F.max("n").alias("n"), F.max("kanal").alias("kanal"))
-    return best.groupBy("kelime", "m").agg(F.collect_list(F.struct("aday", "n", "kanal")).alias("adaylar"))
+    there = {r.b: r.n for r in flat_map(lexicon.select("a", "n"), make, "b string, n bigint").groupBy("b").agg(F.sum("n").alias("n")).collect()}
+    scale = tokens / max(1, there.get("", 0))
+    out = {}
+    for name, p in prior.items():
+        expected = there.get(name.split(">")[1], 0) * scale
+        out[name] = math.log(min(MOST, max(LEAST, (seen.get(name, 0) + PRIOR * p) / (expected + PRIOR))))
+    weight = {name: seen.get(name, 0) + 1 for name in prior}
+    level = sum(weight[x] * (math.log(prior[x]) - out[x]) for x in prior) / sum(weight.values())
+    return {name: value + level for name, value in out.items()}
+
+
+def candidates(words: DataFrame, lexicon: DataFrame, tokens: int) -> DataFrame:
+    """(kelime, m, adaylar): the right words that each of words(kelime, t) may stand for, with their counts and channel."""
+    pairs = cut(possible(words, lexicon))
+    logs = estimated(pairs, lexicon, tokens)
+    of = F.create_map(*[F.lit(x) for pair in logs.items() for x in pair])
+    total = F.aggregate("islem", F.lit(0.0), lambda a, x: a + F.coalesce(F.element_at(of, x), F.lit(math.log(0.02))))
+    return pairs.groupBy("kelime", "m").agg(F.collect_list(F.struct("aday", "n", total.alias("kanal"))).alias("adaylar"))
 
 
 def decode(line: list[dict], pair: dict[tuple[str, str], int], total: float) -> list[str]:
     """The best path over the words of a line that have candidates; line is ordered by place."""
-    paths: list[tuple[float, list[str]]] = [(0.0, [])]
+    paths: list[tuple[float, list[str], float]] = [(0.0, [], 0.0)]
+    weight = MIX * 1000
     last: dict | None = None
     for x in line:
         own = x["kelime"]
@@ -267,14 +328,15 @@ def decode(line: list[dict], pair: dict[tuple[str, str], int], total: float) ->
         new = []
         for word, n, channel_ in options:
             best = None
-            for score, path in paths:
+            for score, path, seen in paths:
                 before = path[-1] if joined else x["onceki"]
-                ahead = pair.get((before, word), 0) + MIX * n / total * 1000
+                # P(word | word before); a word before that is the same on all paths needs no division.
+                ahead = (pair.get((before, word), 0) + weight * n / total) / ((seen + weight) if joined else 1.0)
                 value_ = score + channel_ + math.log(ahead)
                 if best is None or value_ > best[0]:
                     best = (value_, path)
             after = math.log((pair.get((word, x["sonraki"]), 0) + MIX * 0.001) / (n + MIX)) if not x["baglanir"] else 0.0
-            new.append((best[0] + after, [*best[1], word]))
+            new.append((best[0] + after, [*best[1], word], n))
         paths = new
         last = x
     return max(paths, key=lambda p: p[0])[1]
@@ -284,7 +346,8 @@ def corrections(rows: DataFrame, model: DataFrame) -> DataFrame:
     """(evrak_id, alan, satir, sira, yer, belirtec, kelime, dogru): the words of readings that the decoder changes."""
     words = rows.where("tur = 'kelime'")
     lexicon = model.where("b is null")
-    found = candidates(words.select("kelime").distinct(), lexicon)
+    tokens = rows.where("tur = 'toplam'").agg(F.sum("satir")).first()[0] or 0
+    found = candidates(words.groupBy("kelime").agg(F.count("*").alias("t")), lexicon, tokens)
     place = ["evrak_id", "alan", "satir"]
     open_ = words.join(found, "kelime").select(*place, "sira", "yer", "belirtec", "kelime", "onceki", "sonraki", "m", "adaylar")
     options = F.concat(F.array("kelime"), F.transform("adaylar", lambda a: a.aday))
@@ -353,7 +416,7 @@ def repairs(scanned: DataFrame, clean: DataFrame) -> DataFrame:
     model = cut(language(clean))
     lexicon = model.where("b is null")
     frequent = lexicon.orderBy(F.desc("n"), "a").limit(FREQUENT).select(F.col("a").alias("kelime"))
-    known = frozenset(r.kelime for r in frequent.join(candidates(frequent, lexicon).select("kelime"), "kelime", "left_anti").collect())
+    known = frozenset(r.kelime for r in frequent.join(possible(frequent.withColumn("t", F.lit(0).cast("bigint")), lexicon).select("kelime").distinct(), "kelime", "left_anti").collect())
     rows = cut(readings(scanned, known).distinct())
     fixed = corrections(rows, model)
     by_token = fixed.groupBy("evrak_id", "alan", "satir", "sira", "belirtec").agg(F.collect_list(F.struct("yer", "dogru")).alias("duzeltmeler"))
@@ -393,7 +456,7 @@ def repaired(text: str, fixed: dict[tuple[int, int], tuple[str, str]]) -> str:
     lines, _, _ = read_lines(text)
     body = [text[a:b] for a, b in body_lines(text, found)]
     width = max((len(x.rstrip()) for x in body), default=0)
-    ends, n, blank = [], -1, True
+    ends, n = [], -1
     # A line goes on in the next unless a blank line follows or it is much shorter than the widest.
     for x in body:
         if not x.strip():
@@ -402,7 +465,6 @@ def repaired(text: str, fixed: dict[tuple[int, int], tuple[str, str]]) -> str:
         else:
             n += 1
             ends.append("\n" if len(x.rstrip()) < 0.7 * width else " ")
-    assert blank
     out = []
     for n, line in enumerate(lines):
         words = []
