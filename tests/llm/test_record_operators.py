@@ -190,10 +190,10 @@ def test_spellings_of_bodies_and_units(spark):
 
 
 def test_common_suffixes_lose_no_link(spark):
-    """More classes than a block may hold share the ending; the spellings of one are still linked."""
+    """Many classes share the ending; the spellings of one are still linked, a misspelt one among them."""
     names = [f"Kişi{chr(97 + i // 20)}{chr(97 + i % 20)} Ortakyamaç" for i in range(150)]
-    got = _entities(spark, "kisi", names + ["KİŞİAB ORTAKYAMAÇ", "Ortakyamaç Kişiab"])
-    assert any({"Kişiab Ortakyamaç", "KİŞİAB ORTAKYAMAÇ", "Ortakyamaç Kişiab"} <= g for g in got)
+    got = _entities(spark, "kisi", names + ["KİŞİAB ORTAKYAMAÇ", "Ortakyamaç Kişiab", "Zübeyde Ortakyamaç", "Zübyede Ortakyamaç"])
+    assert any({"Kişiab Ortakyamaç", "KİŞİAB ORTAKYAMAÇ", "Ortakyamaç Kişiab"} <= g for g in got) and frozenset({"Zübeyde Ortakyamaç", "Zübyede Ortakyamaç"}) in got
 
 
 def test_hot_blocks_lose_no_link(spark, monkeypatch):
@@ -203,14 +203,39 @@ def test_hot_blocks_lose_no_link(spark, monkeypatch):
     want = [("Zeynep Ortakyamaç", "Zyenep Ortakyamaç"), ("Mustafa Ortakyamaç", "Msutaaf Ortakyamaç"), ("Meh Ortakyamaç", "Mehk Ortakyamaç")]
     frame = spark.createDataFrame([("kisi", n) for n in [*names, "M. Ortakyamaç", *{x for p in want for x in p}]], "alan string, ad string")
     classes = entities.classes_of(frame)
-    of = {r.ad: r.sinif for r in classes.collect()}
+    own = {r.sinif: (r.ad, r.kelime) for r in classes.collect()}
+    of = {ad: sinif for sinif, (ad, _) in own.items()}
     pairs = [(r.a, r.b) for r in entities.blocks(classes).collect()]
-    n = len(set(of.values()))
-    assert len(pairs) == len(set(pairs)) == n * (n - 1) // 2 and n > 100
+    support: dict[str, int] = {}
+    for _, words in own.values():
+        for w in set(words):
+            support[w] = support.get(w, 0) + 1
+    weighed = {c: [(w, support[w]) for w in words] for c, (_, words) in own.items()}
+    # Brute force over all pairs of the block: what the comparison accepts is among the candidates, of which there are far fewer.
+    accepted = {(a, b) for a in own for b in own if a < b and entities.same_person(weighed[a], weighed[b])}
+    assert accepted <= set(pairs) and len(pairs) == len(set(pairs)) < len(own) * (len(own) - 1) // 4 and len(accepted) > 100
     linked = {(r.a, r.b) for r in entities.links(classes).where("bag = 'kisa'").collect()}
     assert all(tuple(sorted((of["M. Ortakyamaç"], of[x]))) in linked for x in names)
 
 
+def test_refined_blocks_of_bodies_against_brute_force(spark):
+    names = ["Fen İşleri Müdürlüğü", "Fen İşl. Müd.", "Fen İşleri Müdürlüğüne", "Fne İşleri Müdürlüğü", "Yazı İşleri Müdürlüğü", "Yazi Isleri Md", "Demrehisar Ticaret Odası", "Demrehisar TO", "Halk Kütüphanesi", "Hlak Kütüphanesi", "Kalk Kütüphanesi", "Destek Hizmetleri Başkanlığı", "Destek Hizmetleri", "PBM", "Park ve Bahçeler Müdürlüğü"]
+    classes = entities.classes_of(spark.createDataFrame([("birim", n) for n in names], "alan string, ad string"))
+    own = {r.sinif: [(w, 1) for w in r.kelime] for r in classes.collect()}
+    accepted = {(a, b) for a in own for b in own if a < b and entities.same_body(own[a], own[b])}
+    assert accepted <= {(r.a, r.b) for r in entities.blocks(classes).collect()} and len(accepted) >= 8
+
+
+def test_short_names_are_linked(spark):
+    got = _entities(spark, "kisi", {"Can Koç", "C. Koç", "KOÇ, CAN", "Ali Koç", "Ece Ün", "ÜN Ece"})
+    assert {frozenset({"Can Koç", "C. Koç", "KOÇ, CAN"}), frozenset({"Ali Koç"}), frozenset({"Ece Ün", "ÜN Ece"})} <= got
+
+
+@pytest.mark.parametrize("a,b,na,nb,same", [("kemal", "cemal", 400, 90, False), ("sarpdere", "sarpdree", 400, 30, True), ("sarpdere", "sarpdree", 400, 60, False), ("sarpdere", "sarpdree", 1, 1, True), ("sarpdere", "sarpdree", 40_000, 9_000, False), ("sarpdere", "sarbdeli", 9, 1, False)])
+def test_slips_are_as_rare_as_slips(a, b, na, nb, same):
+    assert entities.misspelt(a, b, na, nb) == same
+
+
 # ---------------------------------------------------------------- scan noise
 
 

@@ -1,13 +1,17 @@
 """Problem 3: variant spellings of persons, institutions and units.
 
 Method: suffix blocking. Spellings are folded to sets of words; spellings with the same words in any order, case
-or accents form a class. The suffix of ``SUFFIX`` letters of each word indexes the class (longer shared suffixes hold it), and so
-do the first letters of an institution's words. No block is left out, however many classes share it: large ones are joined in slices of
-``SLICE`` classes. Pairs that share a block are compared word by word by the longest-common-subsequence ratio, with
-rules for abbreviations, acronyms, initials, inflection and pet forms.
-
-Two words count as misspellings of each other only if one of them is rare beside the other: names
-that both occur in many spellings, such as Kemal and Cemal, stay apart. Persons known by an initial or
+or accents form a class. The suffix of ``SUFFIX`` letters of each word (a shorter word whole) indexes the class; longer shared suffixes hold it.
+A suffix alone is shared by too many, so every one is refined by another word of the name before anything is compared: of a
+person by that word and the word less one letter (two words with one slip share such a form), by its initial against spellings that have
+an initial only, and by its first two letters against short ones that may be pet forms; of an institution or unit by the initial of
+another word. The refined keys keep every pair that the comparison would accept by that suffix, so no block is discarded, however
+common; large ones are joined in slices of ``SLICE`` classes. Pairs that share a block are compared word by word by the
+longest-common-subsequence ratio, with rules for abbreviations, acronyms, initials, inflection and pet forms.
+
+Two words count as misspellings of each other only if the rarer is as rare beside the other as slips are: at most what a share of
+``SLIP`` of the other's spellings, three standard deviations and one make. Names that both occur in many spellings, such as Kemal and Cemal, stay
+apart, and listed given names are never slips of each other. Persons known by an initial or
 a pet form join the one person of that surname who fits; where several persons fit, they stay alone.
 
 Defined cases: null, blank and filler spellings name no entity; a single word is no person's name;
@@ -25,12 +29,13 @@ from tomar.operators.components import connected_components
 from tomar.session import cut, table
 
 from .folding import fold
+from .names import GIVEN
 from .rows import flat_map
 
 SUFFIX, SLICE = 4, 500
 #: Least ratio of the common subsequence to the longer word, and the letters of a word that may be out of place.
 RATIO, SLIPS = 0.75, 1
-RARE, RARER = 2, 0.25
+SLIP = 0.05
 
 #: Words that fill a field without naming an entity, and words that an institution's name may lack.
 FILLERS = frozenset(
@@ -41,6 +46,7 @@ OPTIONAL = frozenset("ve ile tc t c makami baskanligi il".split())
 #: Forms of address that go with a given name, and pet forms that no rule gives.
 ADDRESS = frozenset("abla abi agabey bey hanim hoca usta amca teyze dayi hala baba ana dede sayin av dr doc prof uzm op muh".split())
 PET_FORMS = {"mistik": "mustafa", "hatce": "hatice", "ibo": "ibrahim", "apo": "abdullah", "esme": "esma", "fadik": "fatma", "nermin": "neriman", "meyro": "meryem", "ese": "ayse", "dudu": "durdu"}
+LISTED = frozenset(fold(x) for x in GIVEN)
 _PET_ENDINGS = ("o", "os", "is", "us", "ik", "uk", "ko", "i", "is", "e", "cik", "cuk", "s", "u")
 _INFLECTION = re.compile(r"(?<=.{4})(?:(?<=[ui])n[ea]|(?<=[ui])n[ui]n|(?<=[ui])nd[ea]|n?d[ea]n|'?y[ea])$")
 #: Endings, folded, in which two forms of one word may differ.
@@ -101,7 +107,8 @@ def misspelt(a: str, b: str, na: int, nb: int) -> bool:
         return True
     if min(len(a), len(b)) < 3 or abs(len(a) - len(b)) > 2 or max(len(a), len(b)) < 4:
         return False
-    if min(na, nb) > RARE and min(na, nb) > RARER * max(na, nb):
+    few, many = sorted((na, nb))
+    if few > SLIP * many + 3 * (SLIP * many) ** 0.5 + 1 or (a in LISTED and b in LISTED):
         return False
     long = max(len(a), len(b))
     # One slip leaves all letters but one in order, so the ratio that is asked for grows with the word.
@@ -267,36 +274,73 @@ def classes_of(names: DataFrame) -> DataFrame:
     return flat_map(names, make, "alan string, ad string, sinif string, kelime array<string>")
 
 
-def _keys(field: str, own: list[str]):
-    """The blocks of a class: the endings of its words and its letters as an acronym."""
-    for w in own:
-        if len(w) >= SUFFIX or (field != "kisi" and len(w) >= 2):
-            yield w[-SUFFIX:]
-    if field != "kisi":
-        letters = "".join(w[0] for w in own if w not in ("ve", "ile"))
-        if len(letters) >= 2:
-            yield f"={letters}"
-        if len(own) == 1:
-            yield f"={own[0]}"
+def _forms(word: str) -> set[str]:
+    """A word and the word less one letter: two words with one slip share one of these."""
+    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+
+
+def _person_keys(own: list[str]):
+    """(key, asks): the blocks of a person. In blocks by initial or pet form a pair needs one class that asks."""
+    for i, w in enumerate(own):
+        if len(w) < 2:
+            continue
+        end = w[-SUFFIX:]
+        for j, o in enumerate(own):
+            if i == j:
+                continue
+            yield f"{end}|{o[0]}.", len(o) == 1
+            if len(o) > 1:
+                for form in _forms(o):
+                    yield f"{end}|{form}", True
+                for start in {o[:2], PET_FORMS.get(o, o)[:2]}:
+                    yield f"{end}|{start}~", len(o) <= 6
+
+
+def _body_keys(own: list[str]):
+    """(key, True): the blocks of an institution or unit, and its letters as an acronym."""
+    telling = [w for w in own if w not in OPTIONAL and not shortened(w, "baskanligi")] or own
+    for i, w in enumerate(telling):
+        if len(w) < 2:
+            continue
+        if len(telling) == 1:
+            yield w[-SUFFIX:], True
+        for j, o in enumerate(telling):
+            if i != j:
+                for letter in {o[0], o[1:2] if len(o) <= SUFFIX else o[0]} - {""}:
+                    yield f"{w[-SUFFIX:]}|{letter}", True
+    letters = "".join(w[0] for w in own if w not in ("ve", "ile"))
+    if len(letters) >= 2:
+        yield f"={letters}", True
+    if len(own) == 1:
+        yield f"={own[0]}", True
+
+
+def _keys(field: str, own: list[str]) -> dict[str, bool]:
+    """The blocks of a class, and whether it asks for partners there."""
+    out: dict[str, bool] = {}
+    for key, asks in _person_keys(own) if field == "kisi" else _body_keys(own):
+        out[key] = out.get(key, False) or asks
+    return out
 
 
 def blocks(classes: DataFrame) -> DataFrame:
-    """(alan, a, b): pairs of classes that share a block."""
+    """(alan, a, b): pairs of classes that share a block in which one of them asks for partners."""
 
     def make():
         def run(rows):
             for r in rows:
-                for k in set(_keys(r["alan"], r["kelime"])):
-                    yield r["alan"], r["sinif"], k
+                for k, asks in _keys(r["alan"], r["kelime"]).items():
+                    yield r["alan"], r["sinif"], k, asks
 
         return run
 
-    keyed = flat_map(classes.select("alan", "sinif", "kelime"), make, "alan string, sinif string, k string").distinct()
-    sizes = keyed.groupBy("alan", "k").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = cut(flat_map(classes.select("alan", "sinif", "kelime"), make, "alan string, sinif string, k string, soran boolean"))
+    sizes = keyed.groupBy("alan", "k").agg(F.count("*").alias("n"), F.bool_or("soran").alias("var")).where("n > 1 and var").drop("var")
     own = keyed.join(sizes, ["alan", "k"]).withColumn("dilimler", F.ceil(F.col("n") / SLICE))
-    left = own.select("alan", "k", F.pmod(F.xxhash64("sinif"), "dilimler").alias("dilim"), F.col("sinif").alias("a"))
+    left = own.where("soran").select("alan", "k", F.pmod(F.xxhash64("sinif"), "dilimler").alias("dilim"), F.col("sinif").alias("a"))
     right = own.select("alan", "k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("dilimler") - 1)).alias("dilim"), F.col("sinif").alias("b"))
-    return left.join(right, ["alan", "k", "dilim"]).where("a < b").select("alan", "a", "b").distinct()
+    both = left.join(right, ["alan", "k", "dilim"]).where("a <> b")
+    return both.select("alan", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def links(classes: DataFrame) -> DataFrame:
