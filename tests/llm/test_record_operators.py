@@ -134,6 +134,48 @@ def test_given_names_are_learned_from_the_corpus(spark):
     assert got == {"Kezban Yılmazkaya", "Tuğrul Osman Hiçyoktan", "Sarpdere, Ökkeş", "KEZBAN YILMAZKAYA", "Ayşe Sarpdere"}
 
 
+def test_names_outside_any_list_are_found(spark):
+    """Held-out given names, learned from the surnames that they stand before."""
+    rng = random.Random(4)
+    surnames = ["Arıkan", "Öztürkmen", "Sarpdere", "Kutlukollu", "Gümüşvuran", "Demrehisarlı"]
+    unknown = ["Berkay", "Nisanur", "Thorsten", "Ayşenaz", "Tuğalp", "Mirhan", "Sudenaz", "Olcayto", "Ruhsar", "Bedirhan"]
+    assert all(pii.given(pii.fold(x)) != 2 for x in unknown)
+    persons = spark.createDataFrame([(f"Ayşe {x}",) for x in surnames], "ad string")
+    names = [f"{g} {s}" for g in unknown for s in rng.sample(surnames, 3)]
+    texts = [f"Dün {n} kuruma geldi ve Fen İşleri birimine dilekçe verdi. Bugün Gümüş Park açıldı." for n in names] + ["Toplantıda Başkan Arıkan söz aldı. Başkan Yardımcısı geldi. Başkan Vekili gitti. Kestane Mahallesi Kestane Sarpdere."]
+    rows = spark.createDataFrame([("t", i, "f", x) for i, x in enumerate(texts)], "tablo string, kayit_id long, alan string, metin string")
+    more = pii.learned(persons, rows)
+    got = {r.deger for r in pii.confirmed(pii.detected(rows, more)).collect()}
+    assert len(got & set(names)) >= 0.9 * len(set(names)) and not got - set(names)
+
+
+def test_masked_rows_hold_no_account_plate_registry_number_or_birth_date(spark, monkeypatch):
+    monkeypatch.setenv("TOMAR_PSEUDONYM_KEY", "deneme")
+    text = "Ayşe Yılmazkaya, TR33 0006 1005 1978 6457 8413 26 hesabı, 34 ABC 123 plakalı araç, sicil no: 48213, doğum tarihi: ０5.03.1990 ve 12 . 11 . 1985 doğumlu. 05.03.2024 tarihli yazı, A. Yılmazkaya."
+    rows = spark.createDataFrame([("t", 1, "f", text), ("t", 1, "f", text), ("t", 2, "f", "düz metin"), ("t", 3, "f", "")], "tablo string, kayit_id long, alan string, metin string")
+    found = pii.confirmed(pii.detected(rows, more_kinds=True))
+    out = {r.kayit_id: (r.metin, r.oge_sayisi) for r in pii.placeholders(rows, found, pii.secret_key(spark)).collect()}
+    masked, n = out[1]
+    assert n == 7 and out[2] == ("düz metin", 0) and out[3] == ("", 0) and len(out) == 3
+    assert all(x not in masked for x in ("8413 26", "ABC 123", "48213", "03.1990", "1985", "Yılmazkaya")) and "05.03.2024 tarihli yazı" in masked
+    assert {k for k in ("[IBAN TR", "[PLAKA 34 ", "[SICIL_NO ", "[DOGUM_TARIHI ", "[AD_SOYAD ") if k in masked} == {"[IBAN TR", "[PLAKA 34 ", "[SICIL_NO ", "[DOGUM_TARIHI ", "[AD_SOYAD "}
+    assert pii.placeholders(rows.limit(0), found, "k").count() == 0
+
+
+def test_account_numbers_stay_valid():
+    new = pii.pseudonym("iban", "TR33 0006 1005 1978 6457 8413 26")
+    digits = "".join(c for c in new if c.isdigit())
+    assert int(digits[2:] + "2927" + digits[:2]) % 97 == 1 and new.startswith("TR") and digits[2:7] == "00061" and len(new) == 32 and digits[7:] != "0519786457841326"
+    assert int("0006100519786457841326" + "2927" + "33") % 97 == 1
+    plate = pii.pseudonym("plaka", "06 AB 1234")
+    assert plate[:3] == "06 " and len(plate) == 10 and plate[3:5].isalpha() and plate != "06 AB 1234"
+
+
+def test_keys_are_drawn_where_none_is_set(spark, monkeypatch):
+    monkeypatch.delenv("TOMAR_PSEUDONYM_KEY", raising=False)
+    assert pii.secret_key(spark) != pii.secret_key(spark)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(2, 12), st.data())
 def test_feistel_is_a_permutation_with_an_inverse(digits, data):

@@ -1,17 +1,20 @@
 """Problem 2: personal items in free text, found by type and replaced by linked placeholders.
 
 Detection: e-mail addresses, phone numbers, national numbers (check digits) and addresses (grammar of quarter,
-street, door and place) come from patterns over the text in plain characters. Names come from the given names of
-a fixed list and those learned from the corpus, one slip allowed, in any order and case, with middle names and initials. Learned is
-what stands with a surname of a listed given name in extracted_info.kisi_adlari or after a label of a text. A given name
+street, door and place) come from patterns over the text in plain characters; so do account numbers (IBAN), number plates, registry
+numbers and birth dates, which are replaced but are no kind of p2_found. Names come from given names, one slip allowed, in any order and case,
+with middle names and initials. A fixed list of given names is only the seed: learned is what stands with a surname of a listed given name in
+extracted_info.kisi_adlari or after a label of a text, and any capitalised word that the texts of the corpus write before ``LEAST_SURNAMES``
+such surnames or more and before hardly anything else (``SHARE``). A given name
 written right before a capitalised surname is sure. Forms with an initial only, with a slip in the given name, in
 capitals, in lower case or in reverse order are doubtful: they count if the surname occurs in a sure name anywhere in the corpus, which is
 decided by a join. Things named after persons are left out by the word that follows.
 
 Method of replacement: format-preserving Feistel pseudonyms. The digits of phone and national numbers are
 permuted by a keyed Feistel network within their format (grouping kept, check digits made right again), so are
-birth dates within the calendar; names, addresses and e-mail addresses get a keyed code of their folded form. Equal values get equal
-pseudonyms in every document, and each stands in a typed placeholder.
+account numbers within their bank, plates and registry numbers, and birth dates within the calendar; names, addresses and e-mail addresses get a keyed code of their folded form. Equal values get equal
+pseudonyms in every document, and each stands in a typed placeholder. The key comes from spark.tomar.pseudonymKey or
+TOMAR_PSEUDONYM_KEY; where neither is set each query draws one of its own, so that no pseudonym can be undone with a known key.
 
 Defined cases: null texts give nothing, empty texts stay empty; a text without items is returned unchanged; rows delivered twice
 count once; overlapping items are settled for the longer, addresses before names; extra columns are ignored.
@@ -23,21 +26,30 @@ import hashlib
 import hmac
 import os
 import re
+import secrets
 import unicodedata
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomar.session import cut, spread, table
+from tomar.session import checked_broadcast, cut, spread, table
 
 from .folding import fold
 from .lookalike import IMITATORS, INVISIBLE, SPACES
 from .names import ADDRESS, NO_SURNAME, given, thing
 from .rows import flat_map
 
-#: The key of the pseudonyms; set one's own outside of tests.
+#: The key of the pseudonyms in tests of single functions; queries take secret_key.
 KEY = os.environ.get("TOMAR_PSEUDONYM_KEY", "tomar")
+KINDS = ("eposta", "telefon", "kimlik_no", "adres", "ad_soyad")
+#: Surnames that a word must stand before to be learned as a given name, and the share of its capitalised followers that they must be.
+LEAST_SURNAMES, SHARE = 2, 0.8
+
+
+def secret_key(spark: SparkSession) -> str:
+    """The configured key of the pseudonyms, or a new one."""
+    return spark.conf.get("spark.tomar.pseudonymKey", None) or os.environ.get("TOMAR_PSEUDONYM_KEY") or secrets.token_hex(16)
 
 # ---------------------------------------------------------------- plain characters
 
@@ -80,7 +92,11 @@ _ELEVEN = re.compile(r"(?<![\w@/+])(?<!\d[.,-])[1-9](?:[ \t\n.-]{0,2}\d){10}(?![
 _PHONE = re.compile(
     r"(?<![\w@/+(])(?<!\d[.,-])(?:(?:\+|00)\s?90|0)?[\s.-]{0,2}(?:\(\s?0?\s?([2-5]\d{2})\s?\)|([2-5]\d{2}))[\s.\-/]{0,3}(\d{3})[\s.\-]{0,2}(\d{2})[\s.\-]{0,2}(\d{2})(?!\d|[.,-]\d)"
 )
-_BIRTH = re.compile(r"(?:[dD]oğum\s+[tT]arihi|DOĞUM\s+TARİHİ|[dD]\.\s?[tT]\.)\s*:?\s*(\d{1,2}[./-]\d{1,2}[./-]\d{4})")
+_BIRTH = re.compile(
+    r"(?:[dD]oğum\s+[tT]arihi|DOĞUM\s+TARİHİ|[dD]\.\s?[tT]\.)\s*:?\s*(?P<a>\d{1,2}\s?[./-]\s?\d{1,2}\s?[./-]\s?\d{4})|(?P<b>\d{1,2}\s?[./-]\s?\d{1,2}\s?[./-]\s?\d{4})(?=\s+(?:[dD]oğumlu|DOĞUMLU))"
+)
+_PLATE = re.compile(r"(?<![\w/.-])(?:0[1-9]|[1-7]\d|8[01])[ -]?[A-PR-VYZ]{1,3}[ -]?\d{2,4}(?![\w/-]|\.\d)")
+_REGISTRY = re.compile(r"\b(?:[Ss]icil|SİCİL|[Pp]ersonel|PERSONEL|[Ee]sas\s+[Dd]efter)\s*(?:[Nn]o|NO|[Nn]umarası|[Nn]umara)\s?[.:]?\s*(\d{3,12})\b")
 
 _NAME = r"(?:[A-ZÇĞİÖŞÜÂÎÛ][\wâîû]*(?:['’-][A-ZÇĞİÖŞÜ]\w*)?)"
 _LABEL = r"(?:[Aa]dres[İIiı]?|ADRES[İI]?|[İi]kametg[âa]hı)"
@@ -215,8 +231,8 @@ def names(text: str, more: frozenset[str] = frozenset()) -> list[tuple[int, int,
 _TITLE_PLACE = re.compile(r"[\s,/]+$")
 
 
-def items(text: str, more: frozenset[str] = frozenset()) -> list[tuple[int, int, str, str, bool]]:
-    """(start, end, tur, folded surname, sure) of the personal items of a text, in places of the text."""
+def items(text: str, more: frozenset[str] = frozenset(), more_kinds: bool = False) -> list[tuple[int, int, str, str, bool]]:
+    """(start, end, tur, folded surname, sure) of the personal items of a text, in places of the text; more_kinds beyond KINDS."""
     plain, place = aligned(text)
     taken: list[tuple[int, int, str, str, bool]] = []
 
@@ -258,6 +274,14 @@ def items(text: str, more: frozenset[str] = frozenset()) -> list[tuple[int, int,
     numbers = [x for x in taken]
     spans = [(a, b, s, sure) for a, b, s, sure in names(plain, more) if all(b <= x or a >= y for x, y, *_ in numbers)]
     taken += [(a, b, "ad_soyad", s, sure) for a, b, s, sure in spans]
+    if more_kinds:
+        for kind, found in (
+            ("iban", ibans),
+            ("dogum_tarihi", [m.span("a" if m["a"] else "b") for m in _BIRTH.finditer(plain)]),
+            ("sicil_no", [m.span(1) for m in _REGISTRY.finditer(plain)]),
+            ("plaka", [m.span() for m in _PLATE.finditer(plain)]),
+        ):
+            taken += [(a, b, kind, "", True) for a, b in found if free(a, b)]
     out = []
     for a, b, kind, s, sure in taken:
         while a < b and plain[b - 1] in " \t\n,;:":
@@ -306,6 +330,34 @@ def _refill(shape: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in shape)
 
 
+def _account(digits: str, key: str) -> str:
+    """The digits of an account number: those of the bank stay, the account is permuted, the check digits are right again."""
+    bank, account = digits[2:7], digits[7:]
+    account = f"{feistel(int(account), len(account), 'iban', key):0{len(account)}d}"
+    # T and R count as 29 and 27 behind the number, with 00 for the check digits.
+    return f"{98 - int(f'{bank}{account}292700') % 97:02d}{bank}{account}"
+
+
+def _plate(text: str, digits: str, key: str) -> str:
+    """A number plate of the same province and form."""
+    letters = [c for c in text if c.isalpha()]
+    base = "ABCDEFGHIJKLMNOPRSTUVYZ"
+    number = 0
+    for c in letters:
+        number = number * len(base) + base.index(c)
+    width, size = len(str(len(base) ** len(letters) - 1)), len(base) ** len(letters)
+    number = feistel(number, width, "plaka", key)
+    while number >= size:
+        number = feistel(number, width, "plaka", key)
+    new = ""
+    for _ in letters:
+        new, number = base[number % len(base)] + new, number // len(base)
+    tail = digits[2:]
+    row = iter(digits[:2] + f"{feistel(int(tail), len(tail), 'plaka', key):0{len(tail)}d}")
+    own = iter(new)
+    return "".join(next(row) if c.isdigit() else next(own) if c.isalpha() else c for c in text)
+
+
 def pseudonym(kind: str, text: str, key: str = KEY) -> str:
     """What stands for an item: of the same format for numbers and dates, else a code."""
     digits = "".join(str(unicodedata.digit(c)) for c in text if c.isdigit())
@@ -320,8 +372,8 @@ def pseudonym(kind: str, text: str, key: str = KEY) -> str:
         body = digits[-10:]
         return _refill(text, digits[:-10] + body[:3] + f"{feistel(int(body[3:]), 7, body[:3], key):07d}")
     if kind == "dogum_tarihi":
-        first, days = date(1900, 1, 1), 99_999
-        d, m, y = (int(x) for x in re.split(r"\D", text))
+        first = date(1900, 1, 1)
+        d, m, y = (int(x) for x in re.findall(r"\d+", text))
         try:
             n = (date(y, m, d) - first).days
         except ValueError:
@@ -332,9 +384,14 @@ def pseudonym(kind: str, text: str, key: str = KEY) -> str:
         n = feistel(n, 5, "tarih", key)
         while n >= span:
             n = feistel(n, 5, "tarih", key)
-        assert days
         new = first + timedelta(days=n)
         return _refill(re.sub(r"\d+", lambda k: "0" * (4 if len(k[0]) == 4 else 2), text), f"{new.day:02d}{new.month:02d}{new.year:04d}")
+    if kind == "iban":
+        return _refill(text, _account(digits, key))
+    if kind == "sicil_no":
+        return _refill(text, f"{feistel(int(digits), len(digits), kind, key):0{len(digits)}d}")
+    if kind == "plaka":
+        return _plate(text, digits, key)
     words = " ".join(sorted(re.findall(r"\w+", fold(text)))) if kind == "ad_soyad" else fold(text)
     start = int.from_bytes(hashlib.sha256(words.encode()).digest()[:8], "big") % 10**12
     return f"{feistel(start, 12, kind, key):012d}"
@@ -361,42 +418,59 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one(state, "agent_state", "evrak_id", "raw_text").unionByName(one(register, "islemler", "id", "metin_ozu")).unionByName(one(register, "islemler", "id", "ozet_ilk_200")).where("metin <> ''")
 
 
-_ITEMS = "tablo string, kayit_id bigint, alan string, tur string, deger string, soyad string, kesin boolean"
+_ITEMS = "tablo string, kayit_id bigint, alan string, ozet bigint, bas int, son int, tur string, deger string, soyad string, kesin boolean"
 
 
 #: Labels that a person's name follows, and the two words after one.
 _LABELLED = r"(?:[Bb]ilgi için\s*:|BİLGİ İÇİN\s*:|[Aa]dı [Ss]oyadı\s*:|ADI SOYADI\s*:|[Tt]eslim alan|[Bb]aşvuru sahibi|[Tt]anık olarak dinlenen|[Ss]ayın|Dr\.)\s+(\p{Lu}\p{L}{2,},?[ \t]+\p{Lu}\p{L}{2,})"
 
 
+#: Runs of capitalised words in a text.
+_RUN = r"\p{Lu}\p{Ll}{2,}(?:[ \t]+\p{Lu}\p{Ll}{2,})+"
+
+
 def learned(persons: DataFrame, rows: DataFrame) -> frozenset[str]:
-    """The folded given names beyond the lists that persons(ad) and the labels in rows(metin) hold.
+    """The folded given names beyond the lists that persons(ad), the labels and the words before surnames in rows(metin) hold.
 
-    A word of a name without a listed given name is one if its partner is the surname of a listed given name. Given names are a
+    A word of a name without a listed given name is one if its partner is the surname of a listed given name, and so is a word that
+    texts write before several such surnames and hardly before other capitalised words. Given names are a
     closed class, whose size follows the language and not the rows: only they come to the driver.
     """
-    labelled = rows.select(F.explode(F.regexp_extract_all("metin", F.lit(_LABELLED), F.lit(1))).alias("ad"))
-    own = persons.select("ad").unionByName(labelled).where("ad is not null").distinct()
+    labelled = F.transform(F.regexp_extract_all("metin", F.lit(_LABELLED), F.lit(1)), lambda x: F.struct(F.lit("etiket").alias("tur"), x.alias("ad")))
+    runs = F.transform(F.regexp_extract_all("metin", F.lit(_RUN), F.lit(0)), lambda x: F.struct(F.lit("dizi").alias("tur"), x.alias("ad")))
+    texts_ = rows.select(F.explode(F.concat(labelled, runs)).alias("x")).select("x.tur", "x.ad")
+    own = cut(persons.select(F.lit("kisi").alias("tur"), "ad").unionByName(texts_).where("ad is not null").groupBy("tur", "ad").agg(F.count("*").alias("n")))
 
     def make():
+        cache = _caches.setdefault(frozenset(), {})
+
         def run(batch):
             for r in batch:
-                words = [_word(m[0], frozenset(), _caches.setdefault(frozenset(), {})) for m in _TOKEN.finditer(aligned(r["ad"])[0])]
+                words = [_word(m[0], frozenset(), cache) for m in _TOKEN.finditer(aligned(r["ad"])[0])]
+                if r["tur"] == "dizi":
+                    for (_, f, g, able), (_, h, _, next_able) in zip(words, words[1:]):
+                        if not g and able and f not in ADDRESS:
+                            yield "dizi", f, h if next_able else "", r["n"]
+                    continue
                 full = [(f, g) for _, f, g, able in words if f not in ADDRESS and (able or g == 2 and len(f) > 2)]
                 if len(full) < 2:
                     continue
                 (first, g), (last, h) = full[0], full[-1]
                 if (g == 2) != (h == 2):
-                    yield None, last if g == 2 else first
+                    yield "kesin", None, last if g == 2 else first, r["n"]
                 elif not g and not h:
-                    yield first, last
-                    yield last, first
+                    yield "aday", first, last, r["n"]
+                    yield "aday", last, first, r["n"]
 
         return run
 
-    pairs = flat_map(own, make, "ad string, soyad string").distinct()
-    sure = pairs.where("ad is null").select("soyad").distinct()
-    known = pairs.where("ad is not null").join(sure, "soyad", "left_semi").join(sure.select(F.col("soyad").alias("ad")), "ad", "left_anti")
-    return frozenset(r.ad for r in known.select("ad").distinct().collect())
+    pairs = cut(flat_map(own, make, "tur string, ad string, soyad string, n bigint").groupBy("tur", "ad", "soyad").agg(F.sum("n").alias("n")))
+    sure = pairs.where("tur = 'kesin'").select("soyad").distinct()
+    known = pairs.where("tur = 'aday'").select("ad", "soyad").distinct().join(sure, "soyad", "left_semi").select("ad")
+    before = pairs.where("tur = 'dizi'").join(sure.withColumn("var", F.lit(1)), "soyad", "left").groupBy("ad").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("var") == 1, F.col("n")).otherwise(0)).alias("m"), F.count("var").alias("k"))
+    written = before.where((F.col("k") >= LEAST_SURNAMES) & (F.col("m") >= SHARE * F.col("n"))).select("ad")
+    found = known.unionByName(written).distinct().join(sure.select(F.col("soyad").alias("ad")), "ad", "left_anti")
+    return frozenset(r.ad for r in found.collect())
 
 
 def given_names(spark: SparkSession, sf_dir: str, rows: DataFrame) -> frozenset[str]:
@@ -404,56 +478,58 @@ def given_names(spark: SparkSession, sf_dir: str, rows: DataFrame) -> frozenset[
     return learned(table(spark, sf_dir, "agent_state").select(F.explode("extracted_info.kisi_adlari").alias("ad")), rows)
 
 
-def detected(rows: DataFrame, more: frozenset[str] = frozenset()) -> DataFrame:
-    """Every item of rows(tablo, kayit_id, alan, metin), doubtful names included."""
+def detected(rows: DataFrame, more: frozenset[str] = frozenset(), more_kinds: bool = False) -> DataFrame:
+    """Every item of rows(tablo, kayit_id, alan, metin) with its place, doubtful names included; ozet is a hash of the text."""
 
     def make():
         def run(batch):
             for r in batch:
                 text = r["metin"]
-                for a, b, kind, surname, sure in items(text, more):
-                    yield r["tablo"], r["kayit_id"], r["alan"], kind, value(text[a:b]), surname, sure
+                for a, b, kind, surname, sure in items(text, more, more_kinds):
+                    yield r["tablo"], r["kayit_id"], r["alan"], r["ozet"], a, b, kind, value(text[a:b]), surname, sure
 
         return run
 
-    return flat_map(rows.select("tablo", "kayit_id", "alan", "metin"), make, _ITEMS)
+    return flat_map(rows.select("tablo", "kayit_id", "alan", F.xxhash64("metin").alias("ozet"), "metin"), make, _ITEMS)
 
 
 def confirmed(found: DataFrame) -> DataFrame:
-    """The sure items, and the doubtful names whose surname some sure name has."""
+    """The sure items, and the doubtful names whose surname some sure name has; with the columns of found."""
     own = cut(found)
     evidence = own.where("kesin and tur = 'ad_soyad'").select("soyad").distinct()
-    doubtful = own.where("not kesin").join(evidence, "soyad", "left_semi")
-    columns = ["tablo", "kayit_id", "alan", "tur", "deger"]
-    return own.where("kesin").select(*columns).unionByName(doubtful.select(*columns)).distinct()
+    doubtful = own.where("not kesin").join(checked_broadcast(evidence), "soyad", "left_semi")
+    return own.where("kesin").unionByName(doubtful.select(*own.columns))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each personal item."""
     rows = texts(spark, sf_dir)
-    return confirmed(detected(rows, given_names(spark, sf_dir, rows)))
+    return confirmed(detected(rows, given_names(spark, sf_dir, rows))).select("tablo", "kayit_id", "alan", "tur", "deger").distinct()
 
 
-def p2_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text with typed placeholders, and how many of each type."""
-    rows = texts(spark, sf_dir)
-    more = given_names(spark, sf_dir, rows)
-    known = confirmed(detected(rows, more)).groupBy("tablo", "kayit_id", "alan").agg(F.collect_set(F.concat("tur", F.lit("\x1f"), "deger")).alias("ogeler"))
-    both = rows.dropDuplicates(["tablo", "kayit_id", "alan", "metin"]).join(known, ["tablo", "kayit_id", "alan"], "left")
+def placeholders(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(tablo, kayit_id, alan, metin, oge_sayisi): rows(tablo, kayit_id, alan, metin) with the items of found replaced, each row once."""
+    record = ["tablo", "kayit_id", "alan", "ozet"]
+    known = found.groupBy(*record).agg(F.collect_set(F.struct("bas", "son", "tur", "kesin")).alias("ogeler"))
+    both = rows.withColumn("ozet", F.xxhash64("metin")).dropDuplicates(record).join(known, record, "left")
 
     def make():
         def run(batch):
             for r in batch:
-                text, wanted = r["metin"], set(r["ogeler"] or ())
-                found = settled([x for x in items(text, more) if f"{x[2]}\x1f{value(text[x[0]:x[1]])}" in wanted]) if wanted else []
-                own = [(a, b, kind) for a, b, kind, *_ in found]
-                births = [(*m.span(1), "dogum_tarihi") for m in _BIRTH.finditer(text)]
-                yield r["tablo"], r["kayit_id"], r["alan"], masked(text, own + births), len(own) + len(births)
+                own = settled([(x["bas"], x["son"], x["tur"], "", x["kesin"]) for x in r["ogeler"] or ()])
+                yield r["tablo"], r["kayit_id"], r["alan"], masked(r["metin"], [x[:3] for x in own], key), len(own)
 
         return run
 
     return flat_map(both, make, "tablo string, kayit_id bigint, alan string, metin string, oge_sayisi int")
 
 
+def p2_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with typed placeholders, and how many. The patterns are read once; their places come back by a join."""
+    rows = texts(spark, sf_dir)
+    found = confirmed(detected(rows, given_names(spark, sf_dir, rows), more_kinds=True))
+    return placeholders(rows, found, secret_key(spark))
+
+
 QUERIES = {"p2_found": p2_found, "p2_masked": p2_masked}
 SQL: dict[str, str] = {}
