@@ -5,7 +5,7 @@ character forms and punctuation. Texts with the same words form a class and only
 class is hashed further. The hashed set is that of its words (shingles of one word: where a quarter of the words is replaced
 at scattered places, single words keep a Jaccard similarity of 0.6, pairs of words one of 1/3 only); ``HASHES`` minwise hashes
 are read as ``BANDS`` bands of ``ROWS`` hashes each, drawn at random. Only pairs that share a band's bucket and stand in
-different splits are candidates. A pair at 0.6 shares a bucket with a probability of 0.99, one at 0.3 with 0.08. Candidates are
+different splits are candidates. A pair at 0.6 shares a bucket with a probability of 0.98, one at 0.3 with 0.06. Candidates are
 verified by the exact Jaccard similarity of their words and then by
 the words in the same order (longest common subsequence against the longer text). Confirmed pairs of classes are
 expanded to the members of both classes where pairs are asked for; the report counts members and expands nothing.
@@ -35,7 +35,7 @@ from .rows import flat_map
 from .scan import continuous
 
 TRAINING, EVALUATION = "dev", ("h", "v2", "v3", "v4")
-HASHES, BANDS, ROWS, SALT, PROBE = 288, 120, 6, 512, 16
+HASHES, BANDS, ROWS, SALT, PROBE = 240, 80, 6, 512, 16
 #: A quarter of the words in other places, where words recur, leaves at least this much of the set; the order decides.
 LEAST_JACCARD, LEAST_ORDER = 0.3, 0.75
 
@@ -116,21 +116,30 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signed(rows: DataFrame) -> DataFrame:
-    """(alan, evrak_id, egitim, sinif, boy, kovalar): the class of each record, its words and the buckets of its bands."""
+    """(alan, evrak_id, egitim, sinif, boy, kelimeler, kovalar): the class of each record, its words and the buckets of its bands."""
 
     def make():
         sign = Signer()
+        seen: set[tuple] = set()
 
         def run(batch):
             for r in batch:
                 own = plain_words(r["metin"])
-                if own:
-                    name = hashlib.blake2b(np.array(own, dtype=np.uint64).tobytes(), digest_size=8).digest()
-                    yield r["alan"], r["evrak_id"], r["kume"] == TRAINING, int.from_bytes(name, "little", signed=True), len(own), sign(own)
+                if not own:
+                    continue
+                h = np.array(own, dtype=np.uint64)
+                name = int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
+                record = (r["alan"], r["evrak_id"], r["kume"] == TRAINING, name)
+                # Rows delivered again are left out here where they meet; the rest of them does no harm.
+                if record not in seen:
+                    if len(seen) > 100_000:
+                        seen.clear()
+                    seen.add(record)
+                    yield *record, len(own), (h ^ (h >> np.uint64(32))).astype(np.uint32).view(np.int32).tolist(), sign(own)
 
         return run
 
-    return flat_map(rows.select("alan", "evrak_id", "kume", "metin"), make, "alan string, evrak_id bigint, egitim boolean, sinif bigint, boy int, kovalar array<int>")
+    return flat_map(rows.select("alan", "evrak_id", "kume", "metin"), make, "alan string, evrak_id bigint, egitim boolean, sinif bigint, boy int, kelimeler array<int>, kovalar array<int>")
 
 
 def candidates(classes: DataFrame, salt: int = SALT, probe: int = PROBE) -> DataFrame:
@@ -155,20 +164,12 @@ def candidates(classes: DataFrame, salt: int = SALT, probe: int = PROBE) -> Data
     return left.join(right, on).where("a <> b").where(long_enough).select(F.when(F.col("k") < 1 << 40, "raw_text").otherwise("aciklama").alias("alan"), "a", "b").distinct()
 
 
-def verified(pairs: DataFrame, rows: DataFrame, representatives: DataFrame) -> DataFrame:
-    """The candidates that are nearly the same: (alan, a, b, benzerlik, sirali)."""
-    needed = cut(pairs.select("alan", F.explode(F.array("a", "b")).alias("sinif")).distinct().join(representatives, ["alan", "sinif"]))
-    texts = rows.join(checked_broadcast(needed), ["alan", "evrak_id"]).groupBy("alan", "sinif").agg(F.min_by("metin", F.xxhash64("metin")).alias("metin"))
-
-    def fold_():
-        def run(batch):
-            for r in batch:
-                yield r["alan"], r["sinif"], [w - (1 << 64) if w >> 63 else w for w in plain_words(r["metin"])]
-
-        return run
-
-    plain = flat_map(texts, fold_, "alan string, sinif bigint, kelimeler array<bigint>")
+def verified(pairs: DataFrame, plain: DataFrame) -> DataFrame:
+    """The candidates that are nearly the same: (alan, a, b, benzerlik, sirali); plain(alan, sinif, kelimeler) has the words of the classes."""
+    needed = pairs.select("alan", F.explode(F.array("a", "b")).alias("sinif")).distinct()
+    plain = cut(plain.join(checked_broadcast(cut(needed)), ["alan", "sinif"]))
     both = pairs.join(plain.select("alan", F.col("sinif").alias("a"), F.col("kelimeler").alias("ka")), ["alan", "a"]).join(plain.select("alan", F.col("sinif").alias("b"), F.col("kelimeler").alias("kb")), ["alan", "b"])
+
     def make():
         def run(batch):
             for r in batch:
@@ -185,18 +186,17 @@ def class_links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, links) of rows(alan, evrak_id, kume, metin).
 
     members(alan, evrak_id, egitim, sinif) has the class of each record, links(alan, a, b, benzerlik, sirali) the classes a with a
-    training record and b with an evaluation record that are the same or nearly so.
+    training record and b with an evaluation record that are the same or nearly so. Classes are numbered, which keeps the bucket rows short.
     """
-    rows = rows.select("alan", "evrak_id", "kume", "metin")
-    members = cut(signed(rows))
-    classes = cut(
-        members.groupBy("alan", "sinif").agg(
-            F.bool_or("egitim").alias("egitim"), F.bool_or(~F.col("egitim")).alias("sinama"), F.min("evrak_id").alias("evrak_id"), F.first("boy").alias("boy"), F.first("kovalar").alias("kovalar")
-        )
-    )
-    near = verified(cut(candidates(classes)), rows, classes.select("alan", "sinif", "evrak_id"))
-    same = classes.where("egitim and sinama").select("alan", F.col("sinif").alias("a"), F.col("sinif").alias("b"), F.lit(1.0).alias("benzerlik"), F.lit(1.0).alias("sirali"))
-    return members.select("alan", "evrak_id", "egitim", "sinif").distinct(), cut(near.unionByName(same))
+    members = cut(signed(rows.select("alan", "evrak_id", "kume", "metin")))
+    groups = members.groupBy("alan", "sinif").agg(F.bool_or("egitim").alias("egitim"), F.bool_or(~F.col("egitim")).alias("sinama"), F.min("evrak_id").alias("evrak_id"), F.first("boy").alias("boy"))
+    groups = cut(groups.withColumn("no", F.monotonically_increasing_id()))
+    # The words and buckets of a class are those of its first record, so only the numbers are joined and no array is grouped.
+    numbered = members.drop("egitim", "boy").join(checked_broadcast(groups), ["alan", "sinif", "evrak_id"]).drop("sinif", "evrak_id").withColumnRenamed("no", "sinif")
+    near = verified(cut(candidates(numbered.drop("kelimeler"))), numbered.select("alan", "sinif", "kelimeler"))
+    same = groups.where("egitim and sinama").select("alan", F.col("no").alias("a"), F.col("no").alias("b"), F.lit(1.0).alias("benzerlik"), F.lit(1.0).alias("sirali"))
+    of = members.select("alan", "evrak_id", "egitim", "sinif").join(checked_broadcast(groups.select("alan", "sinif", "no")), ["alan", "sinif"]).drop("sinif").withColumnRenamed("no", "sinif")
+    return of.distinct(), cut(near.unionByName(same).dropDuplicates(["alan", "a", "b"]))
 
 
 def overlaps(rows: DataFrame) -> DataFrame:
