@@ -74,6 +74,19 @@ def test_bands_find_a_quarter_of_replaced_words(size):
     assert accepted == 200 and shared >= 0.95 * accepted
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=60), st.data())
+def test_cells_lose_no_pair(a, data):
+    """Whatever a quarter of the longer text is replaced by, the cells differ by no more than is allowed."""
+    import numpy as np
+
+    b = list(a)
+    for i in range(len(a) // 4):
+        b[data.draw(st.integers(0, len(a) - 1))] = data.draw(st.integers(0, 2**64 - 1))
+    x, y = (np.frombuffer(crosssplit.cells(w), np.uint8).astype(int) for w in (a, b))
+    assert np.abs(x - y).sum() <= len(a) + len(b) - 2 * 0.75 * max(len(a), len(b))
+
+
 def test_report_counts_pairs_without_expanding_them(spark):
     frame = _records(spark)
     channels = frame.select("evrak_id", "kume", F.concat(F.lit("k"), F.col("evrak_id") % 3).alias("kaynak")).distinct().where("evrak_id <> 301")
