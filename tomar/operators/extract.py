@@ -23,7 +23,6 @@ PHONE = r"(?:\+90|0090|0)?[\s.-]?\(?[2-5][0-9]{2}\)?[\s.-]?[0-9]{3}[\s.-]?[0-9]{
 NUMERIC_DATE = r"[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}"
 NAMED_DATE = rf"[0-9]{{1,2}}\s(?:{'|'.join(MONTHS)}|{'|'.join(m.capitalize() for m in MONTHS)})\s[0-9]{{4}}"
 DOCUMENT_NUMBER = r"[EZO]-[0-9]{5,9}-[0-9]{2,3}(?:\.[0-9]{2,3})*-[0-9]+"
-MOST_REFERENCES = 10
 
 
 def _all(c: Column | str, pattern: str, group: int = 0) -> Column:
@@ -59,6 +58,10 @@ def national_number_valid(c: Column | str) -> Column:
     return F.coalesce(good, F.lit(False))
 
 
+#: The subject line and the indented lines after it, which hold no label of their own.
+SUBJECT = r"(?md)^[ \t]*Konu[ \t]*:[ \t]*([^\n]+(?:\n[ \t]{2,}[^\n:]+$){0,3})"
+
+
 def national_numbers(c: Column | str) -> Column:
     """Eleven-digit numbers with right check digits."""
     return F.filter(_all(c, r"(?:^|[^0-9])([1-9][0-9]{10})(?=[^0-9]|$)", 1), national_number_valid)
@@ -71,7 +74,7 @@ def dates(c: Column | str) -> Column:
 
 def document_numbers(c: Column | str) -> Column:
     """Every document number of a text."""
-    return F.slice(_all(c, DOCUMENT_NUMBER), 1, MOST_REFERENCES)
+    return _all(c, DOCUMENT_NUMBER)
 
 
 def own_number(c: Column | str) -> Column:
@@ -81,9 +84,10 @@ def own_number(c: Column | str) -> Column:
 
 
 def subject(c: Column | str) -> Column:
-    """The subject line; null where there is none."""
+    """The subject with up to three indented lines that go on with it, in one line; null where there is none."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.nullif(F.trim(F.regexp_extract(c, r"(?md)^[ \t]*Konu[ \t]*:[ \t]*([^\n]+)", 1)), F.lit(""))
+    whole = F.regexp_extract(c, SUBJECT, 1)
+    return F.nullif(F.trim(F.regexp_replace(whole, r"[ \t\n]+", " ")), F.lit(""))
 
 
 def document_date(c: Column | str) -> Column:
@@ -120,6 +124,23 @@ def places(c: Column | str, gazetteer: list[str]) -> Column:
     return F.filter(F.array(*[F.lit(g) for g in gazetteer]), lambda g: F.array_contains(own, F.lower(F.translate(g, "İIÇÖÜŞĞ", "iıçöüşğ"))))
 
 
+#: The provinces.
+PROVINCES = """
+Adana Adıyaman Afyonkarahisar Ağrı Aksaray Amasya Ankara Antalya Ardahan Artvin Aydın Balıkesir Bartın Batman Bayburt Bilecik Bingöl Bitlis Bolu Burdur Bursa Çanakkale Çankırı Çorum Denizli Diyarbakır Düzce
+Edirne Elazığ Erzincan Erzurum Eskişehir Gaziantep Giresun Gümüşhane Hakkari Hatay Iğdır Isparta İstanbul İzmir Kahramanmaraş Karabük Karaman Kars Kastamonu Kayseri Kırıkkale Kırklareli Kırşehir Kilis Kocaeli
+Konya Kütahya Malatya Manisa Mardin Mersin Muğla Muş Nevşehir Niğde Ordu Osmaniye Rize Sakarya Samsun Siirt Sinop Sivas Şanlıurfa Şırnak Tekirdağ Tokat Trabzon Tunceli Uşak Van Yalova Yozgat Zonguldak
+""".split()
+#: A place by what follows its name.
+PLACE = r"([A-ZÇĞİÖŞÜ][a-zçğıöşü]+) (?:ilçesi|ilinde|iline|ilinin|köyü|beldesi|mahallesinde)"
+
+
+def places_of(c: Column | str) -> Column:
+    """The provinces that a text names, as written with a capital, and the names that a word for a kind of place follows; each once, provinces first."""
+    c = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    capital = F.regexp_extract_all(c, F.lit(r"[A-ZÇĞİÖŞÜ][a-zçğıöşü]+"), F.lit(0))
+    return F.array_distinct(F.concat(F.array_intersect(F.array(*[F.lit(x) for x in PROVINCES]), capital), F.regexp_extract_all(c, F.lit(PLACE), F.lit(1))))
+
+
 _BODY_KINDS = r"(?:Müdürlüğü|Başkanlığı|Belediyesi|Kaymakamlığı|Valiliği|Bakanlığı|Kurumu|Dairesi|Müşavirliği|Odası|Hastanesi|Kütüphanesi|İdaresi|Bölgesi|Öğretmenevi|Yüksekokulu|Üniversitesi)"
 _BODY = re.compile(rf"^[ \t]*(?:T\.C\.[ \t]+)?((?:[A-ZÇĞİÖŞÜ][\wâîû.]*[ \t]+(?:ve[ \t]+)?){{1,6}}{_BODY_KINDS})[ \t]*$", re.M)
 _SIGNED = re.compile(r"^(?:[A-ZÇĞİÖŞÜ][\wçğıöşü]+|[A-ZÇĞİÖŞÜ]\.)(?:[ \t]+(?:[A-ZÇĞİÖŞÜ][\wçğıöşüÇĞİÖŞÜ]+|[A-ZÇĞİÖŞÜ]\.)){1,3}$")

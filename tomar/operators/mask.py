@@ -95,3 +95,23 @@ def audit(c: Column | str) -> Column:
     """How many items of each kind the audit still finds; 0 for null."""
     c = F.col(c) if isinstance(c, str) else c
     return F.struct(*[F.coalesce(F.regexp_count(c, F.lit(p)), F.lit(0)).alias(k) for k, p in AUDIT.items()])
+
+
+#: What names a registry number, and the words before it that make it the number of a company or an institution.
+REGISTRY = r"((?:[Ss]icil|SİCİL)\s*(?:[Nn]o|NO|[Nn]umarası)\s*[:.]?\s*)([0-9]{3,12})"
+CORPORATE = "(?:[Tt]icaret|TİCARET|[Tt]apu|TAPU|[Ff]irma|FİRMA)"
+#: An address: a quarter or a street and a door number, with what is given of floor and flat.
+ADDRESS = r"[A-ZÇĞİÖŞÜ][A-Za-zçğıöşüÇĞİÖŞÜ]* (?:Mahallesi|Mah\.|Mh\.|Caddesi|Cad\.|Cd\.|Sokağı|Sok\.|Sk\.)[^\n:;]{0,60}?[Nn][Oo]\s*[:.]?\s*[0-9]{1,5}(?:[ ,]+(?:[Kk]at|[Dd]aire|K|D)\s*[:.]?\s*[0-9]{1,3}){0,2}"
+
+
+def registry_numbers(c: Column | str) -> Column:
+    """The digits of a registry number become stars, unless it is that of a company or an institution."""
+    c = F.col(c) if isinstance(c, str) else c
+    kept = F.regexp_replace(c, rf"({CORPORATE}\s+){REGISTRY}", "$1$2#$3#")
+    return F.regexp_replace(F.regexp_replace(kept, REGISTRY + "(?![0-9#])", "$1***"), r"#([0-9]{3,12})#", "$1")
+
+
+def addresses(c: Column | str) -> Column:
+    """Every address becomes one fixed token."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.regexp_replace(c, ADDRESS, "[ADRES]")

@@ -288,6 +288,27 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
     return F.when(n > 0, F.struct(F.greatest(F.lit(0.0), centre - half).alias("low"), F.least(F.lit(1.0), centre + half).alias("high")))
 
 
+def calibration_report(rows: DataFrame, bins: int = 10) -> DataFrame:
+    """One row (n, dogruluk, guven, ece, mce, brier) of rows(conf, ok)."""
+    whole = rows.agg(F.count("*").alias("n"), F.avg(F.col("ok").cast("int")).alias("dogruluk"), F.avg("conf").alias("guven"))
+    return whole.join(F.broadcast(ece_mce(rows, bins))).join(F.broadcast(brier(rows)))
+
+
+def rate_summary(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, n, k, oran, alt, ust) of rows(by, ok): the rate of each group with its interval."""
+    own = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("ok").alias("k"))
+    bounds = wilson(F.col("k"), F.col("n"))
+    return own.select(*by, "n", "k", (F.col("k") / F.col("n")).alias("oran"), bounds["low"].alias("alt"), bounds["high"].alias("ust"))
+
+
+def entity_f1(gold: Column, found: Column) -> Column:
+    """(precision, recall, f1) of a set of entities against the right ones; 0 where there is nothing to divide by."""
+    a, b = F.array_distinct(F.coalesce(gold, F.array().cast("array<string>"))), F.array_distinct(F.coalesce(found, F.array().cast("array<string>")))
+    both = F.size(F.array_intersect(a, b))
+    p, r = _share(both, F.size(b)), _share(both, F.size(a))
+    return F.struct(p.alias("precision"), r.alias("recall"), _share(2 * p * r, p + r).alias("f1"))
+
+
 def mcnemar(pairs: DataFrame) -> dict:
     """Discordant counts, chi-square with continuity correction and p of pairs(a, b), two systems' correctness."""
     r = pairs.agg(F.count_if(F.col("a") & ~F.col("b")).alias("b"), F.count_if(~F.col("a") & F.col("b")).alias("c")).first()

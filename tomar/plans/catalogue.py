@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import documents, metrics, pipeline, register, retrieval, text
+from . import documents, mechanisms, metrics, pipeline, register, retrieval, text
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (retrieval, register, text, metrics, documents, pipeline):
+for _module in (retrieval, register, text, metrics, documents, mechanisms, pipeline):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)

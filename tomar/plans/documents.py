@@ -303,10 +303,10 @@ _REFS = f"""{_REL}, cited as (select distinct id as dst, unnest(regexp_extract_a
     e as (select distinct src, dst from named join cited using (num) where src <> dst)"""
 SQL = {
     "field_emails": f"select evrak_id, unnest({_ALL(_EMAIL)}) as eposta from {_T}",
-    "field_numbers": f"select evrak_id, nullif(trim(regexp_extract(text, '(?m)^[ \\t]*Say[ıi][ \\t]*:[ \\t]*(\\S+)', 1)), '') as sayi, least(len({_ALL(X.DOCUMENT_NUMBER)}), 10)::int as n from {_T}",
+    "field_numbers": f"select evrak_id, nullif(trim(regexp_extract(text, '(?m)^[ \\t]*Say[ıi][ \\t]*:[ \\t]*(\\S+)', 1)), '') as sayi, len({_ALL(X.DOCUMENT_NUMBER)})::int as n from {_T}",
     "field_ibans": f"select distinct evrak_id, regexp_replace(x, '\\s', '', 'g') as iban from (select evrak_id, unnest({_ALL(_IBAN)}) as x from {_T})",
     "field_amounts": f"select evrak_id, unnest({_ALL(_AMOUNT)}) as tutar from {_T}",
-    "field_subjects": f"select evrak_id, nullif(trim(regexp_extract(text, '(?m)^[ \\t]*Konu[ \\t]*:[ \\t]*([^\\n]+)', 1), ' '), '') as konu from {_T}",
+    "field_subjects": f"select evrak_id, nullif(trim(regexp_replace(regexp_extract(text, '(?m)^[ \\t]*Konu[ \\t]*:[ \\t]*([^\\n]+(?:\\n[ \\t]{{2,}}[^\\n:]+$){{0,3}})', 1), '[ \\t\\n]+', ' ', 'g'), ' '), '') as konu from {_T}",
     "national_number_check": f"""with s as (select evrak_id, unnest({_ALL('[0-9]{11}')}) as sayi from {_T}), d as (select *, list_transform(range(1, 12), lambda i: substr(sayi, i::int, 1)::int) as d from s)
         select evrak_id, sayi, d[1] > 0 and (((d[1] + d[3] + d[5] + d[7] + d[9]) * 7 - (d[2] + d[4] + d[6] + d[8])) % 10 + 10) % 10 = d[10] and list_sum(d[1:10]) % 10 = d[11] and len(list_distinct(d)) > 1 as gecerli from d""",
     "email_mask": f"select evrak_id, md5(regexp_replace(text, '([A-Za-z0-9])[A-Za-z0-9._%+-]{{0,63}}@((?:[A-Za-z0-9-]{{1,63}}\\.){{1,6}}[A-Za-z]{{2,15}})', '\\1***@\\2', 'g')) as ozet from {_T} where contains(text, '@')",

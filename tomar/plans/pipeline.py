@@ -49,12 +49,13 @@ def extracted(df: DataFrame) -> DataFrame:
     return df.withColumn("fields", F.when(F.col("readable"), X.fields("text")))
 
 
-def cited(laws: DataFrame, n: int = 3) -> Stage:
-    """The legislation that fits each text best; laws(id, doc_id, text)."""
+def cited(laws: DataFrame, n: int = 3, characters: int | None = None) -> Stage:
+    """The legislation that fits each text best; laws(id, doc_id, text). Texts are searched by whole, or by so many characters if asked."""
+    own_text = F.col("text") if characters is None else F.substring("text", 1, characters)
 
     def run(df: DataFrame) -> DataFrame:
         ix = R.index(laws)
-        terms = R.query_terms(df.where("readable").select("id", F.concat_ws(" ", "fields.konu", F.substring("text", 1, 1500)).alias("q")), "id", "q")
+        terms = R.query_terms(df.where("readable").select("id", F.concat_ws(" ", "fields.konu", own_text).alias("q")), "id", "q")
         own = R.saturated(R.bm25(terms, ix), terms, ix).join(laws.select("id", "doc_id"), "id")
         best = R.best_per(own, "doc_id", n, "similarity").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", F.round("similarity", 4).alias("similarity")))).alias("matches"))
         return df.join(best.withColumnRenamed("qid", "id"), "id", "left")
