@@ -422,11 +422,11 @@ _ITEMS = "tablo string, kayit_id bigint, alan string, ozet bigint, bas int, son
 
 
 #: Labels that a person's name follows, and the two words after one.
-_LABELLED = r"(?:[Bb]ilgi için\s*:|BİLGİ İÇİN\s*:|[Aa]dı [Ss]oyadı\s*:|ADI SOYADI\s*:|[Tt]eslim alan|[Bb]aşvuru sahibi|[Tt]anık olarak dinlenen|[Ss]ayın|Dr\.)\s+(\p{Lu}\p{L}{2,},?[ \t]+\p{Lu}\p{L}{2,})"
+_LABELLED = r"\b(?=[BbAaTtSsD])(?:[Bb]ilgi için\s*:|BİLGİ İÇİN\s*:|[Aa]dı [Ss]oyadı\s*:|ADI SOYADI\s*:|[Tt]eslim alan|[Bb]aşvuru sahibi|[Tt]anık olarak dinlenen|[Ss]ayın|Dr\.)\s+(\p{Lu}\p{L}{2,},?[ \t]+\p{Lu}\p{L}{2,})"
 
 
 #: Runs of capitalised words in a text.
-_RUN = r"\p{Lu}\p{Ll}{2,}(?:[ \t]+\p{Lu}\p{Ll}{2,})+"
+_RUN = r"\b[A-ZÇĞİÖŞÜÂÎÛ][a-zçğıöşüâîû]{2,}+(?:[ \t]++[A-ZÇĞİÖŞÜÂÎÛ][a-zçğıöşüâîû]{2,}+)++"
 
 
 def learned(persons: DataFrame, rows: DataFrame) -> frozenset[str]:
@@ -437,8 +437,12 @@ def learned(persons: DataFrame, rows: DataFrame) -> frozenset[str]:
     closed class, whose size follows the language and not the rows: only they come to the driver.
     """
     labelled = F.transform(F.regexp_extract_all("metin", F.lit(_LABELLED), F.lit(1)), lambda x: F.struct(F.lit("etiket").alias("tur"), x.alias("ad")))
-    runs = F.transform(F.regexp_extract_all("metin", F.lit(_RUN), F.lit(0)), lambda x: F.struct(F.lit("dizi").alias("tur"), x.alias("ad")))
-    texts_ = rows.select(F.explode(F.concat(labelled, runs)).alias("x")).select("x.tur", "x.ad")
+    # Neighbours within a run, so that few different pairs are left to look at.
+    neighbours = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
+    runs = F.flatten(F.transform(F.regexp_extract_all("metin", F.lit(_RUN), F.lit(0)), lambda x: neighbours(F.split(x, "[ \t]+"))))
+    runs = F.transform(runs, lambda x: F.struct(F.lit("dizi").alias("tur"), x.alias("ad")))
+    # explode would evaluate the patterns once more to ask for empty arrays.
+    texts_ = rows.select(F.explode_outer(F.concat(labelled, runs)).alias("x")).select("x.tur", "x.ad")
     own = cut(persons.select(F.lit("kisi").alias("tur"), "ad").unionByName(texts_).where("ad is not null").groupBy("tur", "ad").agg(F.count("*").alias("n")))
 
     def make():
