@@ -129,7 +129,7 @@ def first_match_rule(spark, sf):
 
 
 def _labelled(spark, sf):
-    types = table(spark, sf, "documents").where("evrak_turu is not null and text <> '' and lang = 'az'")
+    types = table(spark, sf, "documents").where("evrak_turu is not null and text <> ''")
     return types.select(F.col("doc_id").alias("id"), "text", F.col("evrak_turu").alias("label"))
 
 
@@ -199,14 +199,8 @@ def unlinked_documents(spark, sf):
     return R.unlinked(own, R.chains(own))
 
 
-def order_components(spark, sf):
-    """Customers and parts joined by orders, as components of a bipartite graph of the small orders."""
-    small = table(spark, sf, "lineitem").where("l_quantity <= 1").select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
-    return connected_components(small).groupBy("component").agg(F.count("*").alias("n"))
-
-
 def order_components_all(spark, sf):
-    """As order_components, of the graph of all line items."""
+    """The components of the graph of orders and parts that all line items make, and their sizes."""
     edges = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
     return connected_components(edges).groupBy("component").agg(F.count("*").alias("n"))
 
@@ -280,7 +274,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         field_emails, field_numbers, field_ibans, field_amounts, field_dates, field_subjects, field_struct, field_lines, national_number_check, email_mask, pii_counts, leak_audit, audit_raw, summaries, rule_scores, rule_decisions,
-        damped_scores, first_match_rule, nb_prior, nb_predict, nb_prior_all, nb_predict_all, nearest_units, metamorphic_invariance, reference_edges, subject_edges, relation_chains, unlinked_documents, order_components, order_components_all, label_file_rows, corpus_overview,
+        damped_scores, first_match_rule, nb_prior, nb_predict, nb_prior_all, nb_predict_all, nearest_units, metamorphic_invariance, reference_edges, subject_edges, relation_chains, unlinked_documents, order_components_all, label_file_rows, corpus_overview,
         scan_quality, run_seal, metadata_records, html_reports, stream_feedback, stream_windows, user_sessions,
     )
 }
@@ -292,7 +286,7 @@ _SCORE = lambda r: " + ".join(f"case when contains(l, '{w}') then {x} else 0.0 e
 _RULED = f"r as (select evrak_id, {', '.join(f'{_SCORE(r)} as {c}' for c, r in RULES.items())} from (select evrak_id, {low('text')} as l from {_T}))"
 _BEST = "list_sort([" + ", ".join(f"{{'s': -{c}, 'k': '{c}'}}" for c in RULES) + "])[1]"
 _DAMP = lambda w: f"case when n_{w} > 0 then 1 + 0.25 * least(n_{w} - 1, 3) else 0 end"
-_FEAT = f"""lab as (select doc_id as id, text, evrak_turu as c from documents where evrak_turu is not null and text <> '' and lang = 'az'),
+_FEAT = f"""lab as (select doc_id as id, text, evrak_turu as c from documents where evrak_turu is not null and text <> ''),
     tk as (select id, c, unnest({tok('text')}) as t from lab), fe as (select id, c, t as f from tk union all select id, c, 'c3:' || substr('<' || t || '>', i::int, 3) from (select *, unnest(range(1, length(t) + 1)) as i from tk)),
     tf as (select id, c, f, count(*) as tf from fe group by all), nn as (select count(*) as n from lab), idf as (select f, ln((n + 1) / (df + 1)) + 1 as idf from (select f, count(*) as df from tf group by f), nn),
     w as (select c, f, sum((1 + ln(tf)) * idf) as w from tf join idf using (f) group by all), tot as (select c, sum(w) + (select count(*) from idf) as b from w group by c),
@@ -323,8 +317,6 @@ SQL = {
         e as (select l.id, pr.c, lp + case when mass > 0 then 6 * (un + coalesce(more, 0) / mass) else 0 end as s from (select distinct id from lab) l cross join pr left join m using (id) left join s on s.id = l.id and s.c = pr.c)
         select id, c as class, round(exp(s - max(s) over (partition by id)) / sum(exp(s)) over (partition by id) * exp(max(s) over (partition by id)), 5) as probability from e""",
     "reference_edges": f"with {_REFS} select src, dst from e",
-    "order_components": """with recursive e as (select distinct l_orderkey * 2 as a, l_partkey * 2 + 1 as b from lineitem where l_quantity <= 1), u as (select a, b from e union select b, a from e),
-        r as (select distinct a as n, a as c from u union select u.b, r.c from r join u on u.a = r.n), m as (select n, min(c) as component from r group by n) select component, count(*) as n from m group by 1""",
     "label_file_rows": "select file, min(tur) as tur, min(len(eksik_alanlar))::int as eksik from etiketler where tur is not null group by file",
     "corpus_overview": "select doc_id, min(title) as baslik, count(*) as bolum, sum(length(body))::bigint as karakter from mevzuat_parcalari group by 1",
     "scan_quality": """select ocr_result.engine_used as motor, count(*) as n, round(avg(g), 4) as mean, round(avg((g < 60)::int), 6) as poor, case when avg(g) >= 80 then 'iyi' when avg(g) >= 60 then 'orta' else 'zayif' end as grade
