@@ -218,3 +218,26 @@ def test_order_components_of_all_line_items_against_brute_force(spark, tmp_path)
         group |= dict.fromkeys(a | b, a | b)
     want = {(min(g), len(g)) for g in group.values()}
     assert {(r.component, r.n) for r in QUERIES["order_components_all"](spark, str(tmp_path)).collect()} == want and len(want) > 2
+
+
+def test_precedents_are_those_of_all_pairs_in_any_number_of_blocks(spark):
+    import random
+
+    draw = random.Random(7)
+    words = [f"kelime{i}" for i in range(40)]
+    rows = [(i, draw.choice(["", "a", "b", "c", "d", "e", None]), " ".join(draw.choices(words, weights=range(1, 41), k=draw.randint(0, 9))) or None) for i in range(300)]
+    register = spark.createDataFrame(rows, "id long, source string, text string").repartition(3)
+    queries = register.where("id % 7 = 0").select(F.col("id").alias("qid"), "source", "text")
+    ix, terms = V.index(register, idf=V.idf_precedent), V.query_terms(queries)
+    pairs = V.saturated(V.bm25(terms, ix), terms, ix, F.ln(1 + (F.col("n") + 1) / 0.5)).where(F.col("similarity") >= V.LEAST_SIMILARITY)
+    text = {i: (s, t) for i, s, t in rows}
+    best: dict = {}
+    for r in pairs.collect():
+        (s, t), (qs, qt) = text[r.id], text[r.qid]
+        if t != qt and not (s and s == qs):
+            own = best.setdefault(r.qid, {})
+            own[s or f"#{r.id}"] = min(own.get(s or f"#{r.id}", (0, 0)), (-r.similarity, r.id))
+    expected = {(q, i) for q, own in best.items() for _, i in sorted(own.values())[:3]}
+    for block in (5, 1000):
+        found = V.precedents(queries, register, block=block)
+        assert {(r.qid, r.id) for r in found.collect()} == expected

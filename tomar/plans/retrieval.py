@@ -54,7 +54,7 @@ def bm25_best_per_law(spark, sf):
 
 
 def precedent_search(spark, sf):
-    register = table(spark, sf, "islemler").distinct().select("id", F.col("kaynak").alias("source"), F.coalesce(F.nullif(F.trim("metin_ozu"), F.lit("")), F.trim("ozet_ilk_200")).alias("text"))
+    register = table(spark, sf, "islemler").select("id", F.col("kaynak").alias("source"), F.coalesce(F.nullif(F.trim("metin_ozu"), F.lit("")), F.trim("ozet_ilk_200")).alias("text")).distinct()
     queries = register.where("id % 50 = 0").select(F.col("id").alias("qid"), "source", "text")
     return R.precedents(queries, register).select("qid", "id", "source", F.round("similarity", 3).alias("similarity"))
 
