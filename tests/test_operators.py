@@ -241,3 +241,13 @@ def test_precedents_are_those_of_all_pairs_in_any_number_of_blocks(spark):
     for block in (5, 1000):
         found = V.precedents(queries, register, block=block)
         assert {(r.qid, r.id) for r in found.collect()} == expected
+
+
+def test_naive_bayes_shuffles_no_row_of_a_document_and_a_feature(spark):
+    texts = ["sulama kanalı bakım bedeli", "yol yapım işi ihale ihale", "park bakım işi", "sulama kanalı ihale yol"]
+    docs = spark.createDataFrame([(i % 30, f"{texts[i % 4]} sayı{i}", "abc"[i % 3]) for i in range(40)], "id long, text string, label string").repartition(3)
+    model = N.train(docs)
+    whole = {(r.id, r["class"]): r.probability for r in N.predict(model, docs, hot=10**6).collect()}
+    split = {(r.id, r["class"]): r.probability for r in N.predict(model, docs, hot=20).collect()}
+    none = {(r.id, r["class"]): r.probability for r in N.predict(model, docs, hot=0).collect()}
+    assert len(whole) == 90 and whole == pytest.approx(split) and whole == pytest.approx(none)
