@@ -251,3 +251,42 @@ def test_naive_bayes_shuffles_no_row_of_a_document_and_a_feature(spark):
     split = {(r.id, r["class"]): r.probability for r in N.predict(model, docs, hot=20).collect()}
     none = {(r.id, r["class"]): r.probability for r in N.predict(model, docs, hot=0).collect()}
     assert len(whole) == 90 and whole == pytest.approx(split) and whole == pytest.approx(none)
+
+
+def _related(spark):
+    import random
+
+    draw = random.Random(3)
+    subjects = ["fidan dikim sahası taşıma işi", "fidan dikim sahası kabul işi", "fidan dikim sahası ihale", "yol yapım işi", "yol yapım kabul", "park"]
+    parties = ["Kumlu Devlet Hastanesi", "Taşlı Devlet Hastanesi", "Kumlu Tapu Müdürlüğü", "Öğretmenevi", "Kumlu Öğretmenevi", "Taşlı Ticaret Odası", "Derebel Ticaret Borsası"]
+    rows = [(i, None, [], draw.choice([*subjects, None]), draw.sample(parties, draw.randint(0, 2))) for i in range(120)]
+    return spark.createDataFrame(rows, "id long, number string, refs array<string>, subject string, parties array<string>").repartition(3), rows
+
+
+def test_subject_counts_are_those_of_all_pairs_in_cells_of_any_size(spark):
+    from collections import Counter
+
+    docs, rows = _related(spark)
+    split = lambda t: tuple(sorted({w for w in (t or "").translate(str.maketrans("İI", "iı")).lower().split() if w != "de"}))
+    heads: dict = {}
+    expected: Counter = Counter()
+    for i, _, _, s, p in rows:
+        if split(s) and p:
+            head = heads.setdefault((split(s), frozenset(map(split, p))), i)
+            expected[head] += head != i
+    share = lambda a, b: len({*a} & {*b})
+    for (s, p), i in heads.items():
+        for (t, q), j in heads.items():
+            if i < j and share(s, t) / len({*s, *t}) >= 0.5 and any(share(u, v) / min(len(u), len(v)) >= 0.6 for u in p for v in q):
+                expected[i] += 1
+    expected = {k: n for k, n in expected.items() if n}
+    for block in (3, 4000):
+        assert {r.src: r.n for r in R.similar_counts(docs, block=block).collect()} == expected
+    assert Counter(r.src for r in R.similar_subjects(docs, block=3).collect()) == expected
+
+
+def test_links_hold_the_components_of_all_pairs_with_fewer_rows(spark):
+    docs, _ = _related(spark)
+    parts = lambda df: {(r.node, r.component) for r in connected_components(df).collect()}
+    pairs, links = R.similar_subjects(docs), R.similar_links(docs)
+    assert parts(pairs) == parts(links) and links.count() < pairs.count()
