@@ -290,3 +290,12 @@ def test_links_hold_the_components_of_all_pairs_with_fewer_rows(spark):
     parts = lambda df: {(r.node, r.component) for r in connected_components(df).collect()}
     pairs, links = R.similar_subjects(docs), R.similar_links(docs)
     assert parts(pairs) == parts(links) and links.count() < pairs.count()
+
+
+def test_documents_without_links_are_those_of_no_pair(spark):
+    docs, _ = _related(spark)
+    linked = {x for r in R.similar_subjects(docs).collect() for x in (r.src, r.dst)}
+    chains = R.chains(docs)
+    assert not [r for r in chains.collect() if r.id not in linked]
+    assert {r.id for r in R.unlinked(docs, chains).collect()} == set(range(120)) - linked
+    assert R.similar_links(docs, block=3).count() < R.similar_subjects(docs, block=3).count()
