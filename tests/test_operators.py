@@ -299,3 +299,10 @@ def test_documents_without_links_are_those_of_no_pair(spark):
     assert not [r for r in chains.collect() if r.id not in linked]
     assert {r.id for r in R.unlinked(docs, chains).collect()} == set(range(120)) - linked
     assert R.similar_links(docs, block=3).count() < R.similar_subjects(docs, block=3).count()
+
+
+def test_naive_bayes_predicts_for_documents_beyond_the_training_rows(spark):
+    docs = spark.createDataFrame([(1, "dilekçe arz ederim", "d"), (2, "rapor inceleme", "r"), (3, "rapor sonucu", "r"), (4, "yeni bilinmeyen rapor", None), (5, None, None), (6, "", "d")], "id long, text string, label string")
+    found = {(r.id, r["class"]): r.probability for r in N.predict(N.train(docs.where("text <> '' and label is not null")), docs, hot=2).collect()}
+    assert len(found) == 12 and found[4, "r"] > found[4, "d"]
+    assert found[5, "r"] == found[6, "r"] == pytest.approx(2 / 3)
