@@ -306,3 +306,15 @@ def test_naive_bayes_predicts_for_documents_beyond_the_training_rows(spark):
     found = {(r.id, r["class"]): r.probability for r in N.predict(N.train(docs.where("text <> '' and label is not null")), docs, hot=2).collect()}
     assert len(found) == 12 and found[4, "r"] > found[4, "d"]
     assert found[5, "r"] == found[6, "r"] == pytest.approx(2 / 3)
+
+
+def test_naive_bayes_tokenises_in_the_batch_as_the_column_does(spark):
+    import pyarrow as pa
+
+    from tomar.functions.text import STOP_WORDS, tokens
+    from tomar.operators import featured
+
+    texts = ["İHALE Işık IĞDIR ÇÖÜŞĞ 12.05.2024 a b2 ve Ve", "bir ve bu", "", "\u212aumlu çay\u0131 g\u0308 e\u0301 İ\u0307z ΑΣ x", None, "BİR ŞU o İLE kâğıt-kalem"]
+    want = [r.t for r in spark.createDataFrame(list(enumerate(texts)), "i int, s string").orderBy("i").select(tokens(F.coalesce("s", F.lit(""))).alias("t")).collect()]
+    assert [[t for t in featured.tokenised(s or "") if t not in STOP_WORDS] for s in texts] == want
+    assert not list(featured._counts(pa.array(["bir ve bu", None, ""]), featured.Numbered()))

@@ -1,18 +1,28 @@
 """Features of tokenised documents counted in the Arrow batch, so that no row of a document and a feature is shuffled.
 
-The features of a token are the token and its boundary-marked 3-grams, as in ``tomar.functions.text.features``.
+Texts are tokenised here too, as in ``tomar.functions.text.tokens``: each token of a task is looked at once. The features of a token are
+the token and its boundary-marked 3-grams, as in ``tomar.functions.text.features``.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
+from tomar.functions.text import STOP_WORDS, TOKEN
+
 #: Tokens that are counted at once, and features that a task keeps numbered.
 _TOKENS, _KEPT = 200_000, 500_000
+_TOKEN = re.compile(TOKEN.removesuffix("+") + "{2,}")
+
+
+def tokenised(text: str) -> list[str]:
+    """The tokens of a text with the stop-words, which have no features."""
+    return _TOKEN.findall(text.replace("İ", "i").replace("I", "ı").lower())
 
 
 class Numbered:
@@ -21,7 +31,7 @@ class Numbered:
     def __init__(self) -> None:
         self.names: list[str] = []
         self.number: dict[str, int] = {}
-        self.of: dict[str, list[int]] = {}
+        self.of: dict[str, list[int]] = {w: [] for w in STOP_WORDS}
 
     def features(self, token: str) -> list[int]:
         own = self.of.get(token)
@@ -33,10 +43,11 @@ class Numbered:
         return own
 
 
-def _counts(lists: pa.ListArray, numbered: Numbered) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(document, feature, tf) by document, in blocks of whole documents; a document is its place in lists."""
-    offsets = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
-    coded = lists.flatten().dictionary_encode()
+def _counts(texts: pa.Array, numbered: Numbered) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, feature, tf) by document, in blocks of whole documents; a document is its place in texts."""
+    lists = [tokenised(t or "") for t in texts.to_pylist()]
+    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)))])
+    coded = pa.array(list(chain.from_iterable(lists)), pa.string()).dictionary_encode()
     code = coded.indices.to_numpy()
     own = [numbered.features(t) for t in coded.dictionary.to_pylist()]
     size = np.array([len(x) for x in own], dtype=np.int64)
@@ -45,8 +56,9 @@ def _counts(lists: pa.ListArray, numbered: Numbered) -> Iterator[tuple[np.ndarra
     while first < len(lists):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + _TOKENS, side="right")) - 1)
         tokens = code[offsets[first] : offsets[last]]
-        if len(tokens):
-            doc = np.repeat(np.arange(first, last), np.diff(offsets[first : last + 1]))
+        able = size[tokens] > 0
+        if able.any():
+            doc, tokens = np.repeat(np.arange(first, last), np.diff(offsets[first : last + 1]))[able], tokens[able]
             pair, times = np.unique(doc * len(own) + tokens, return_counts=True)
             token = pair % len(own)
             n = size[token]
@@ -62,13 +74,13 @@ def _counts(lists: pa.ListArray, numbered: Numbered) -> Iterator[tuple[np.ndarra
 
 
 def learned(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """(class, feature, df, s): documents and sums of 1 + ln tf by class and feature, for each batch(class, tokens)."""
+    """(class, feature, df, s): documents and sums of 1 + ln tf by class and feature, for each batch(class, text)."""
     numbered = Numbered()
     for batch in batches:
         coded = batch.column("class").dictionary_encode()
         kind, kinds = coded.indices.to_numpy(), len(coded.dictionary)
         keys, weights = [], []
-        for doc, feature, tf in _counts(batch.column("tokens"), numbered):
+        for doc, feature, tf in _counts(batch.column("text"), numbered):
             keys.append(feature * kinds + kind[doc])
             weights.append(1 + np.log(tf))
         if keys:
@@ -81,13 +93,13 @@ def learned(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa
 
 
 def weighed(batches: Iterator[pa.RecordBatch], names: list[str], idf: np.ndarray, more: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """(id, mass, more, rest) of batches(id, tokens): sums over the features of names, and the other features with their tf."""
+    """(id, mass, more, rest) of batches(id, text): sums over the features of names, and the other features with their tf."""
     hot = {x: i for i, x in enumerate(names)}
     numbered, place = Numbered(), np.zeros(0, dtype=np.int64)
     for batch in batches:
         mass, sums = np.zeros(len(batch)), np.zeros((len(batch), more.shape[1]))
         docs, rest, times = [], [], []
-        for doc, feature, tf in _counts(batch.column("tokens"), numbered):
+        for doc, feature, tf in _counts(batch.column("text"), numbered):
             if len(place) < len(numbered.names):
                 place = np.concatenate([place, np.array([hot.get(x, -1) for x in numbered.names[len(place) :]], dtype=np.int64)])
             at = place[feature]

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tomar.functions.text import tokens
 from tomar.session import cut
 
 from . import featured
@@ -46,7 +45,7 @@ def train(documents: DataFrame, key: str = "id", text: str = "text", label: str
     known = documents.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(label).alias("class"))
     schema = T.StructType([known.select("class").schema["class"], T.StructField("feature", T.StringType()), T.StructField("df", T.LongType()), T.StructField("s", T.DoubleType())])
     arrow = to_arrow_schema(schema)
-    parts = whole(known, "id", "class").select("class", tokens("text").alias("tokens")).mapInArrow(lambda batches: featured.learned(batches, arrow), schema)
+    parts = whole(known, "id", "class").select("class", "text").mapInArrow(lambda batches: featured.learned(batches, arrow), schema)
     rows = cut(parts.groupBy("class", "feature").agg(F.sum("df").alias("df"), F.sum("s").alias("s")))
     n = known.agg(F.count("*").alias("n"))
     idf = rows.groupBy("feature").agg(F.sum("df").alias("df")).join(F.broadcast(n)).select("feature", idf_smooth(F.col("n"), F.col("df")).alias("idf"))
@@ -85,7 +84,7 @@ def predict(model: Model, documents: DataFrame, key: str = "id", text: str = "te
     schema = T.StructType([T.StructField("id", kind["id"]), T.StructField("mass", T.DoubleType()), T.StructField("more", T.ArrayType(T.DoubleType())), T.StructField("rest", T.ArrayType(T.StructType([T.StructField("feature", T.StringType()), T.StructField("tf", T.LongType())])))])
     arrow = to_arrow_schema(schema)
     known = F.when(F.col("id").isNotNull(), F.coalesce("text", F.lit(""))).otherwise(F.lit(""))
-    counted = cut(whole(own, "id").select("id", tokens(known).alias("tokens")).mapInArrow(lambda batches: featured.weighed(batches, names, idf, more, arrow), schema))
+    counted = cut(whole(own, "id").select("id", known.alias("text")).mapInArrow(lambda batches: featured.weighed(batches, names, idf, more, arrow), schema))
     rest = counted.select("id", F.inline("rest")).join(wide, "feature").withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
     cold = rest.select("id", F.col("w").alias("mass"), F.transform("d", lambda x: x * F.col("w")).alias("more"))
     sums = counted.select("id", "mass", "more").unionByName(cold).groupBy("id").agg(F.sum("mass").alias("mass"), *[F.sum(F.col("more")[i]).alias(f"m{i}") for i in range(len(prior))])
