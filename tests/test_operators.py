@@ -318,3 +318,20 @@ def test_naive_bayes_tokenises_in_the_batch_as_the_column_does(spark):
     want = [r.t for r in spark.createDataFrame(list(enumerate(texts)), "i int, s string").orderBy("i").select(tokens(F.coalesce("s", F.lit(""))).alias("t")).collect()]
     assert [[t for t in featured.tokenised(s or "") if t not in STOP_WORDS] for s in texts] == want
     assert not list(featured._counts(pa.array(["bir ve bu", None, ""]), featured.Numbered()))
+
+
+def test_the_pipeline_searches_and_summarises_where_the_text_is(spark):
+    from tomar.operators import summary as S
+    from tomar.plans import pipeline as P
+
+    laws = spark.createDataFrame([(1, "A", "sulama kanalı bakım bedeli"), (2, "A", "sulama birliği"), (3, "B", "sulama kanalı bakım bedeli"), (4, "C", "yol yapım"), (5, None, "park bakım işi")], "id long, doc_id string, text string")
+    texts = ["Konu: sulama kanalı\nBakım bedeli İSTENDİ. Sulama kanalı 12.05.2024 günü temizlendi (tutanak). Ayrıca, 3 park bakım işi yapıldı; yol yapım sürüyor. Liste şudur:", "hiçbir şey bilinmeyen bir metin burada durur, noktasız", "kısa", "", None, "Yol yapım ve yol yapım işi. " * 7]
+    docs = spark.createDataFrame([(i, "k", t) for i, t in enumerate(texts)], "id long, source string, text string")
+    ready = P.extracted(P.gated(P.capped(docs)))
+    found = {r.id: r.matches for r in P.cited(laws)(ready).collect()}
+    assert found == {r.id: r.matches for r in P.cited(laws, most=0)(ready).collect()} and [m.doc_id for m in found[0]][:2] == ["A", "B"] and found[3] is None
+    rows = {r.id: r.summary for r in P.summarised(ready).collect()}
+    want = S.summaries(ready.where("readable").select("id", "text", F.col("fields.konu").alias("subject")))
+    assert {i: s for i, s in rows.items() if s is not None} == {r.id: r.summary for r in want.collect()} and rows[1] and rows[2] is None
+    plan = P.pipeline([P.capped, P.gated, P.classified({"d": {"yol": 1.0}}), P.extracted, P.cited(laws), P.summarised, P.anonymised, P.registered])(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomar.functions.text import keyword_count, tr_lower
+from tomar.functions.text import bound, keyword_count, tr_lower
 
 from .metrics import softmax
 
@@ -16,12 +16,15 @@ NO_SIGNAL = 0.1
 
 def keyword_scores(c: Column | str, rules: dict[str, dict[str, float]]) -> Column:
     """A map from class to the sum of the weights of its key words that the folded text holds."""
-    low = tr_lower(c)
-    pairs = []
-    for name, words in rules.items():
-        total = reduce(lambda a, b: a + b, [F.when(F.contains(low, F.lit(w)), F.lit(float(x))).otherwise(F.lit(0.0)) for w, x in words.items()])
-        pairs += [F.lit(name), total]
-    return F.create_map(*pairs)
+
+    def scores(low: Column) -> Column:
+        pairs = []
+        for name, words in rules.items():
+            total = reduce(lambda a, b: a + b, [F.when(F.contains(low, F.lit(w)), F.lit(float(x))).otherwise(F.lit(0.0)) for w, x in words.items()])
+            pairs += [F.lit(name), total]
+        return F.create_map(*pairs)
+
+    return bound(tr_lower(c), scores)
 
 
 def damped_scores(c: Column | str, rules: dict[str, dict[str, float]], more: float = 0.25, most: int = 3) -> Column:

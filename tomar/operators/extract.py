@@ -19,7 +19,7 @@ from tomar.functions.text import tr_lower
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,6}[A-Za-z]{2,15}"
 IBAN = r"TR[0-9]{2}(?:\s?[0-9]{4}){5}\s?[0-9]{2}"
 AMOUNT = r"[0-9]{1,3}(?:\.[0-9]{3})*(?:,[0-9]{1,2})?\s?(?:TL|₺|lira|Türk Lirası)"
-PHONE = r"(?:\+90|0090|0)?[\s.-]?\(?[2-5][0-9]{2}\)?[\s.-]?[0-9]{3}[\s.-]?[0-9]{2}[\s.-]?[0-9]{2}"
+PHONE = r"(?=[+02-5\s.(-])(?:\+90|0090|0)?[\s.-]?\(?[2-5][0-9]{2}\)?[\s.-]?[0-9]{3}[\s.-]?[0-9]{2}[\s.-]?[0-9]{2}"
 NUMERIC_DATE = r"[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}"
 NAMED_DATE = rf"[0-9]{{1,2}}\s(?:{'|'.join(MONTHS)}|{'|'.join(m.capitalize() for m in MONTHS)})\s[0-9]{{4}}"
 DOCUMENT_NUMBER = r"[EZO]-[0-9]{5,9}-[0-9]{2,3}(?:\.[0-9]{2,3})*-[0-9]+"
@@ -64,7 +64,7 @@ SUBJECT = r"(?md)^[ \t]*Konu[ \t]*:[ \t]*([^\n]+(?:\n[ \t]{2,}[^\n:]+$){0,3})"
 
 def national_numbers(c: Column | str) -> Column:
     """Eleven-digit numbers with right check digits."""
-    return F.filter(_all(c, r"(?:^|[^0-9])([1-9][0-9]{10})(?=[^0-9]|$)", 1), national_number_valid)
+    return F.filter(_all(c, r"[1-9](?<![0-9].)[0-9]{10}(?![0-9])"), national_number_valid)
 
 
 def dates(c: Column | str) -> Column:
@@ -194,12 +194,16 @@ def line_fields(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"kurumlar": own.map(bodies_of), "imzalayanlar": own.map(signers_of), "dagitim": own.map(distribution_of)})
 
 
+#: The pattern fields of a text by name.
+FIELDS = {
+    "tarihler": dates, "evrak_tarihi": document_date, "evrak_sayisi": own_number, "referanslar": document_numbers, "konu": subject, "muhatap": recipient,
+    "ilgi": reference_lines, "kimlik_numaralari": national_numbers, "telefonlar": phones, "epostalar": emails, "ibanlar": ibans, "tutarlar": amounts, "gizlilik": secrecy,
+}
+
+
 def fields(c: Column | str) -> Column:
     """All pattern fields of a text as one struct."""
-    return F.struct(
-        dates(c).alias("tarihler"), document_date(c).alias("evrak_tarihi"), own_number(c).alias("evrak_sayisi"), document_numbers(c).alias("referanslar"), subject(c).alias("konu"), recipient(c).alias("muhatap"),
-        reference_lines(c).alias("ilgi"), national_numbers(c).alias("kimlik_numaralari"), phones(c).alias("telefonlar"), emails(c).alias("epostalar"), ibans(c).alias("ibanlar"), amounts(c).alias("tutarlar"), secrecy(c).alias("gizlilik"),
-    )
+    return F.struct(*[of(c).alias(name) for name, of in FIELDS.items()])
 
 
 def missing_fields(extracted: Column | str, required: list[str]) -> Column:

@@ -37,7 +37,7 @@ def _stars(c: Column) -> Column:
 def emails(c: Column | str) -> Column:
     """The first letter and the domain of an address stay."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(c, r"([A-Za-z0-9])[A-Za-z0-9._%+-]{0,63}@((?:[A-Za-z0-9-]{1,63}\.){1,6}[A-Za-z]{2,15})", "$1***@$2")
+    return F.when(~F.contains(c, F.lit("@")), c).otherwise(F.regexp_replace(c, r"([A-Za-z0-9])[A-Za-z0-9._%+-]{0,63}+@((?:[A-Za-z0-9-]{1,63}\.){1,6}[A-Za-z]{2,15})", "$1***@$2"))
 
 
 def ibans(c: Column | str) -> Column:
@@ -62,7 +62,7 @@ def phones(c: Column | str) -> Column:
 def plates(c: Column | str) -> Column:
     """The province code of a vehicle plate stays."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(c, r"(?<![0-9A-Z])(0[1-9]|[1-7][0-9]|8[01]) ?[A-Z]{1,3} ?[0-9]{2,4}(?![0-9A-Z])", "$1 *** ***")
+    return F.regexp_replace(c, r"(?=[0-8])(?<![0-9A-Z])(0[1-9]|[1-7][0-9]|8[01]) ?[A-Z]{1,3} ?[0-9]{2,4}(?![0-9A-Z])", "$1 *** ***")
 
 
 def birth_dates(c: Column | str) -> Column:

@@ -6,14 +6,54 @@ a batch is left out for a query only where no record of it could reach that plac
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+from .featured import tokenised
+
 _MARGIN = 1e-8
 
 
+class Small:
+    """A small index as arrays: rows (term, id, idf, w, group), one a posting."""
+
+    def __init__(self, rows: list) -> None:
+        self.columns = sorted({(r["id"], r["group"]) for r in rows}, key=lambda x: (x[0], x[1] is None, x[1] or ""))
+        self.term: dict[str, int] = {}
+        at = np.array([self.term.setdefault(r["term"], len(self.term)) for r in rows], dtype=np.int64)
+        self.idf = np.zeros(len(self.term))
+        self.idf[at] = [r["idf"] for r in rows]
+        place = {c: i for i, c in enumerate(self.columns)}
+        order = np.argsort(at, kind="stable")
+        self.posted = np.array([place[r["id"], r["group"]] for r in rows], dtype=np.int64)[order]
+        self.weight = np.array([r["w"] for r in rows], dtype=float)[order]
+        self.start = np.searchsorted(at[order], np.arange(len(self.term) + 1))
+
+    def best(self, text: str, n: int, saturation: float) -> list[dict]:
+        """(rank, group, similarity) of the n groups with the best records, ties by the records' ids."""
+        count = Counter(map(self.term.get, tokenised(text)))
+        count.pop(None, None)
+        if not count:
+            return []
+        terms = np.fromiter(count.keys(), dtype=np.int64, count=len(count))
+        times = np.fromiter(count.values(), dtype=float, count=len(count))
+        size = self.start[terms + 1] - self.start[terms]
+        ends = np.cumsum(size)
+        entry = np.repeat(self.start[terms] - (ends - size), size) + np.arange(ends[-1])
+        score = np.bincount(self.posted[entry], np.repeat(times, size) * self.weight[entry], len(self.columns))
+        able = np.flatnonzero(score > 0)
+        s = np.round(np.minimum(1.0, score[able] / (saturation * self.idf[terms].sum())), 9)
+        groups: dict = {}
+        for j in np.argsort(-s, kind="stable"):
+            groups.setdefault(self.columns[able[j]][1], float(s[j]))
+            if len(groups) == n:
+                break
+        return [{"rank": i, "group": g, "similarity": x} for i, (g, x) in enumerate(groups.items(), 1)]
+
+
 class Asked:
     """Queries as arrays: rows (qid, source, text, mass, terms, weights), weights being qtf x idf."""
 

@@ -45,17 +45,25 @@ def classified(rules: dict[str, dict[str, float]]) -> Stage:
 
 
 def extracted(df: DataFrame) -> DataFrame:
-    """Fields of readable texts."""
-    return df.withColumn("fields", F.when(F.col("readable"), X.fields("text")))
+    """Fields of readable texts; a field that no later stage reads isn't looked for."""
+    own = df.withColumns({f"_{name}": F.when(F.col("readable"), of("text")) for name, of in X.FIELDS.items()})
+    return own.withColumn("fields", F.struct(*[F.col(f"_{name}").alias(name) for name in X.FIELDS])).drop(*[f"_{name}" for name in X.FIELDS])
 
 
-def cited(laws: DataFrame, n: int = 3, characters: int | None = None) -> Stage:
-    """The legislation that fits each text best; laws(id, doc_id, text). Texts are searched by whole, or by so many characters if asked."""
+def cited(laws: DataFrame, n: int = 3, characters: int | None = None, most: int = R.SMALL) -> Stage:
+    """The legislation that fits each text best; laws(id, doc_id, text). Texts are searched by whole, or by so many characters if asked.
+
+    A small index goes to the texts; a larger one is joined with their terms by shuffle.
+    """
     own_text = F.col("text") if characters is None else F.substring("text", 1, characters)
+    query = F.concat_ws(" ", "fields.konu", own_text)
 
     def run(df: DataFrame) -> DataFrame:
         ix = R.index(laws)
-        terms = R.query_terms(df.where("readable").select("id", F.concat_ws(" ", "fields.konu", own_text).alias("q")), "id", "q")
+        found = R.best_of_small(F.when(F.col("readable"), query), ix, laws.select("id", F.col("doc_id").alias("group")), n, most)
+        if found is not None:
+            return df.withColumn("matches", F.transform(found, lambda m: F.struct(m["rank"].alias("rank"), m["group"].alias("doc_id"), F.round(m["similarity"], 4).alias("similarity"))))
+        terms = R.query_terms(df.where("readable").select("id", query.alias("q")), "id", "q")
         own = R.saturated(R.bm25(terms, ix), terms, ix).join(laws.select("id", "doc_id"), "id")
         best = R.best_per(own, "doc_id", n, "similarity").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", F.round("similarity", 4).alias("similarity")))).alias("matches"))
         return df.join(best.withColumnRenamed("qid", "id"), "id", "left")
@@ -65,8 +73,7 @@ def cited(laws: DataFrame, n: int = 3, characters: int | None = None) -> Stage:
 
 def summarised(df: DataFrame) -> DataFrame:
     """Extractive summaries of readable texts."""
-    own = S.summaries(df.where("readable").select("id", "text", F.col("fields.konu").alias("subject")))
-    return df.join(own, "id", "left")
+    return df.withColumn("summary", S.summary(F.when(F.col("readable"), F.col("text")), F.col("fields.konu")))
 
 
 def anonymised(df: DataFrame) -> DataFrame:
