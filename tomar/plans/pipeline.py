@@ -38,8 +38,8 @@ def classified(rules: dict[str, dict[str, float]]) -> Stage:
     """Classifies readable texts by a rule table."""
 
     def run(df: DataFrame) -> DataFrame:
-        scored = df.withColumn("_m", F.when(F.col("readable"), C.keyword_scores("text", rules)))
-        return scored.withColumn("class", F.when(F.col("readable"), C.decided("_m", "diger"))).drop("_m").withColumn("review", C.gate(F.col("class.confidence")))
+        decided = T.bound(C.keyword_scores("text", rules), lambda m: C.decided(m, "diger"))
+        return df.withColumn("class", F.when(F.col("readable"), decided)).withColumn("review", C.gate(F.col("class.confidence")))
 
     return run
 
